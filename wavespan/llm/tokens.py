@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from wavespan.llm.common import id_and_text, steps
 
 #: Distinct words that a worker's table keeps; when it is full it starts anew, which costs time, not results.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 300_000
 #: Characters whose words are looked up together.
-LOOKUP_CHARS = 8_000_000
+LOOKUP_CHARS = 4_000_000
 
 
 def tokenizer_path(name: str) -> str:
