@@ -28,9 +28,9 @@ from wavespan.llm.common import id_and_text, materialize, steps
 
 CLASSES = 1 << 16
 BEGIN, END = (xxhash.xxh64_intdigest(x, 7) for x in (b"\x20begin", b"\x20end"))
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 3_000_000
 #: Tokens of a unit, on average.
-UNIT_TOKENS = 2_500_000
+UNIT_TOKENS = 600_000
 HOT = 4096
 BURN_IN, SAMPLES = 2, 3
 STRENGTH, PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 1.0, 0.5
