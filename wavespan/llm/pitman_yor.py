@@ -13,6 +13,7 @@ again, now with the sums, for scores. Each sample's predictive probabilities add
 
 from __future__ import annotations
 
+import gc
 import struct
 
 import numpy as np
@@ -30,8 +31,10 @@ CLASSES = 1 << 16
 BEGIN, END = (xxhash.xxh64_intdigest(x, 7) for x in (b"\x20begin", b"\x20end"))
 BLOCK_CHARS = 3_000_000
 #: Tokens of a unit, on average.
-UNIT_TOKENS = 600_000
+UNIT_TOKENS = 300_000
 HOT = 4096
+#: Entries of documents that a task holds before it hands on their sums.
+HELD = 2_000_000
 BURN_IN, SAMPLES = 2, 3
 STRENGTH, PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 1.0, 0.5
 #: Dishes of up to so many customers are moved customer by customer; larger ones are seated anew in each sweep.
@@ -288,6 +291,9 @@ def score_texts(docs: DataFrame, train) -> DataFrame:
     count = max(1, round(corpus / UNIT_TOKENS))
     messages = rows.mapInArrow(_messages(count, hot), "unit long, block long, payload binary")
     table = materialize(messages.groupBy("unit").applyInPandas(_merge, "unit long, block long, payload binary"), "pitman-yor-units")
+    del messages  # the shuffle behind the table isn't needed again; the cleaner removes it at a collection
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     units = table.filter("unit >= 0").select("unit", "payload")
 
     def counts(batches):
@@ -350,6 +356,8 @@ def score_texts(docs: DataFrame, train) -> DataFrame:
     train_tokens = int(context[0].sum())
 
     def score(batches):
+        """Sums by document, as one row for each block that some of the task's units have tokens of."""
+        held, size = [], 0
         for u in _units(batches):
             here, there = Hot(hot).at(u)
             own = u.by_word(u.count)
@@ -361,17 +369,40 @@ def score_texts(docs: DataFrame, train) -> DataFrame:
                 rest = STRENGTH + discount * tables[k][u.context]
                 mean += (u.count - discount * seats + rest * word[u.word]) / (STRENGTH + context[0][u.context])
             base = np.log10((own + ADD) / (train_tokens + ADD * (vocabulary + 1)))[u.word]
-            at = np.repeat(u.block, u.rows) << 23 | u.doc
-            docs, place = np.unique(at, return_inverse=True)
-            by_doc = [np.bincount(place, x[u.place], len(docs)) for x in (np.log10(mean / SAMPLES), base, (own > 0)[u.word])]
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(by_doc[0]), pa.array(by_doc[1]), pa.array(by_doc[2].astype(np.int64))], names=["at", "score", "base_score", "n_known"])
-
-    def named(batches):
-        for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                ids, valid, train, n = _get(payload.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array((block << 23) + np.arange(len(ids))), pa.array(ids, mask=valid == 0), pa.array(train == 1), pa.array(n)], names=["at", "doc_id", "train", "n_tokens"])
-
-    sums = units.mapInArrow(score, "at long, score double, base_score double, n_known long").groupBy("at").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
-    names = table.filter("unit < 0").select("block", "payload").mapInArrow(named, "at long, doc_id long, train boolean, n_tokens long")
-    return names.join(sums, "at").select("doc_id", "train", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            docs, place = np.unique(np.repeat(u.block, u.rows) << 23 | u.doc, return_inverse=True)
+            held.append((docs, *[np.bincount(place, x[u.place], len(docs)) for x in (np.log10(mean / SAMPLES), base, (own > 0)[u.word])]))
+            size += len(docs)
+            if size > HELD:
+                yield from _by_block(held)
+                held, size = [], 0
+        yield from _by_block(held)
+
+    sums = units.mapInArrow(score, "block long, payload binary, sums boolean")
+    names = table.filter("unit < 0").select("block", "payload", F.lit(False).alias("sums"))
+
+    def whole(key, pdf):
+        """One block's documents."""
+        ids, valid, train, n = _get(pdf.loc[~pdf["sums"], "payload"].iloc[0])
+        total = np.zeros((3, len(ids)))
+        for payload in pdf.loc[pdf["sums"], "payload"]:
+            at, *parts = _get(payload)
+            for k, part in enumerate(parts):
+                total[k][at] += part
+        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), valid == 0), "train": train == 1, "n_tokens": n, "n_known": total[2].astype(np.int64), "base_score": total[1], "score": total[0]})
+
+    out = sums.unionByName(names).groupBy("block").applyInPandas(whole, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _by_block(held: list[tuple[np.ndarray, ...]]):
+    """(block, sums by the block's documents) of the units held: a document's sums over them are one entry."""
+    if not held:
+        return
+    docs, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    score, base, known = (np.bincount(place, np.concatenate([h[k] for h in held]), len(docs)) for k in (1, 2, 3))
+    cut = np.concatenate(([0], np.flatnonzero(docs[1:] >> 23 != docs[:-1] >> 23) + 1, [len(docs)]))
+    blocks, payloads = [], []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        blocks.append(int(docs[a] >> 23))
+        payloads.append(_put((docs[a:b] & ((1 << 23) - 1)).astype("<u4"), score[a:b].astype("<f4"), base[a:b], known[a:b].astype("<u4")))
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(payloads, pa.binary()), pa.array([True] * len(blocks))], names=["block", "payload", "sums"])
