@@ -1,9 +1,14 @@
 """All registered queries and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from wavespan.functions import scalar_queries
+from wavespan.plans import recording_queries
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return {name: f for name, (f, _) in recording_queries.REGISTRY.items()} | scalar_queries.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in recording_queries.REGISTRY.items() if sql} | scalar_queries.oracle_sql()
