@@ -146,7 +146,8 @@ def grow(pool: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE) -> Is
             feature[t, node], split[t, node], left[t, node] = f, value, used
             todo += [(used, rows[~right], depth + 1), (used + 1, rows[right], depth + 1)]
             used += 2
-    return IsolationForest(feature if size else feature[:0], split, left, length, size)
+    kept = slice(trees if size else 0)
+    return IsolationForest(feature[kept], split[kept], left[kept], length[kept], size)
 
 
 def forest_verdicts(docs: DataFrame, labels: DataFrame, spare: float = SPARE) -> DataFrame:
