@@ -36,7 +36,7 @@ Q: dict[str, str] = {
     "f23_progress": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 8 = 0 THEN 1.0 ELSE round(greatest(least(value / (CASE WHEN event_id % 3 = 0 THEN 400.5 ELSE 500 END), 1), 0), 6) END AS fraction FROM events",
     "f24_error_hint": "SELECT event_id, CASE WHEN event_type LIKE '%error%' THEN 'fault' WHEN event_type LIKE '%click%' THEN 'input' WHEN event_type LIKE '%view%' THEN 'display' ELSE 'other' END AS hint FROM events",
     "f25_hex_word": "SELECT doc_id, regexp_extract(lower(text), '([0-9a-f]{{8}})', 1) AS word FROM documents",
-    "f27_frame_seconds": "SELECT event_id, CAST(round(greatest(event_id / 44100.0 - 0.0232, 0), 6) AS DOUBLE) AS secs, CAST(round((value + 0.0232) * 44100) AS BIGINT) AS frame FROM events",
+    "f27_frame_seconds": "SELECT event_id, CAST(round(greatest(event_id / 44100e0 - 0.0232e0, 0), 6) AS DOUBLE) AS secs, CAST(round((value + 0.0232) * 44100) AS BIGINT) AS frame FROM events",
     "f28_rescale": "SELECT event_id, event_id * 90000 // 44100 AS ticks FROM events",
     "f32_tick_step": "SELECT event_id, CAST(step AS DOUBLE) AS step FROM (SELECT event_id, CASE WHEN s <= 0.1 THEN 0.1 WHEN s <= 0.2 THEN 0.2 WHEN s <= 0.5 THEN 0.5 WHEN s <= 1 THEN 1 WHEN s <= 2 THEN 2 WHEN s <= 5 THEN 5 WHEN s <= 10 THEN 10 WHEN s <= 20 THEN 20 WHEN s <= 30 THEN 30 WHEN s <= 60 THEN 60 ELSE 1200 END AS step FROM (SELECT event_id, value / 10 AS s FROM events) x) y",
     "f42_flag": "SELECT event_id, NOT (v IS NULL OR v = '' OR lower(v) IN ('0', 'false', 'no')) AS flag FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'No' WHEN 3 THEN '0' WHEN 4 THEN 'FALSE' ELSE 'yes' END AS v FROM events) x",

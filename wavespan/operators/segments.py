@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_POS = Window.partitionBy("rec").orderBy("pos")
+def by_pos():
+    return Window.partitionBy("rec").orderBy("pos")
 
 
 def runs(flags: DataFrame, least: int) -> DataFrame:
@@ -41,7 +42,7 @@ def thin(suggestions: DataFrame, gap: int) -> DataFrame:
 def tracks(splits: DataFrame, ends: DataFrame) -> DataFrame:
     """(rec, idx, start, stop): consecutive and gap-free from 0 to the total."""
     starts = ends.select("rec", F.lit(0).cast("long").alias("pos")).unionByName(splits.select("rec", "pos"))
-    return starts.join(ends, "rec").select("rec", (F.row_number().over(BY_POS) - 1).cast("long").alias("idx"), F.col("pos").alias("start"), F.lead("pos").over(BY_POS).alias("next"), "total").select("rec", "idx", "start", F.coalesce("next", "total").alias("stop"))
+    return starts.join(ends, "rec").select("rec", (F.row_number().over(by_pos()) - 1).cast("long").alias("idx"), F.col("pos").alias("start"), F.lead("pos").over(by_pos()).alias("next"), "total").select("rec", "idx", "start", F.coalesce("next", "total").alias("stop"))
 
 
 def audible(track_rows: DataFrame, silences: DataFrame) -> DataFrame:

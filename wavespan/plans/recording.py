@@ -42,7 +42,7 @@ class Recording:
     @cached_property
     def splits(self) -> DataFrame:
         rows = segments.thin(self.suggestions, GAP)
-        return rows.withColumn("idx", (F.row_number().over(segments.BY_POS) - 1).cast("long")).withColumn("confirmed", F.col("idx") % 3 == 0)
+        return rows.withColumn("idx", (F.row_number().over(segments.by_pos()) - 1).cast("long")).withColumn("confirmed", F.col("idx") % 3 == 0)
 
     @cached_property
     def tracks(self) -> DataFrame:

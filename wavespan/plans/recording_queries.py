@@ -350,7 +350,7 @@ def a20(r: Recording) -> DataFrame:
 
 @query("w14_first_difference", "SELECT a.rec, min(a.idx) AS first FROM splits a LEFT JOIN (SELECT rec, pos, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS idx FROM sug) b ON a.rec = b.rec AND a.idx = b.idx WHERE b.pos IS NULL OR a.pos <> b.pos GROUP BY a.rec")
 def w14(r: Recording) -> DataFrame:
-    other = r.suggestions.select("rec", F.col("pos").alias("other"), (F.row_number().over(segments.BY_POS) - 1).cast("long").alias("idx"))
+    other = r.suggestions.select("rec", F.col("pos").alias("other"), (F.row_number().over(segments.by_pos()) - 1).cast("long").alias("idx"))
     return r.splits.join(other, ["rec", "idx"], "left").filter("other IS NULL OR pos <> other").groupBy("rec").agg(F.min("idx").alias("first"))
 
 
