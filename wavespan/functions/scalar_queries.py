@@ -15,39 +15,11 @@ NAMES = "(SELECT page_id, regexp_replace(substring(url, 9, 40), '[?&=]', ':'{all
 PCM = "rate * channels * 2.0 * secs"
 
 Q: dict[str, str] = {
-    "f1_fmt_precise": "SELECT event_id, CASE WHEN ms >= 3600000 THEN CAST(ms // 3600000 AS {str}) || ':' ELSE '' END || lpad(CAST(ms // 60000 % 60 AS {str}), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS {str}), 2, '0') || '.' || lpad(CAST(ms % 1000 AS {str}), 3, '0') AS label FROM (SELECT event_id, CAST(round(greatest(secs, 0) * 1000) AS BIGINT) AS ms FROM " + SECS + ") y",
-    "f2_fmt_short": "SELECT event_id, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS {str}) || ':' || lpad(CAST(s // 60 % 60 AS {str}), 2, '0') ELSE CAST(s // 60 AS {str}) END || ':' || lpad(CAST(s % 60 AS {str}), 2, '0') AS label FROM (SELECT event_id, CAST(round(greatest(secs, 0) * 1000) AS BIGINT) // 1000 AS s FROM " + SECS + ") y",
-    "f4_lufs_energy": "SELECT event_id, round(-0.691 + 10 * log10(value + 1), 6) AS lufs, round(power(10, (-(value / 20) + 0.691) / 10), 6) AS energy FROM events",
-    "f5_amplitude_db": "SELECT event_id, round(power(10, value / 200), 6) AS amplitude, round(20 * log10(greatest(value / 500, 1e-10)), 6) AS db FROM events",
-    "f6_normalise_gain": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE round(least(-14 + value / 20, -1 + value / 100), 6) END AS gain FROM events",
-    "f8_quantise": "SELECT event_id, CAST(greatest(least(round((value / 250 - 1) * 32768), 32767), -32768) AS BIGINT) AS sample FROM events",
     "f9_flac_bits": "SELECT event_id, CASE WHEN bits > 16 THEN 24 ELSE 16 END AS depth FROM " + FACTS,
-    "f10_vbr_kbps": "SELECT event_id, CASE least(event_id % 12, 9) WHEN 0 THEN 245 WHEN 1 THEN 225 WHEN 2 THEN 190 WHEN 3 THEN 175 WHEN 4 THEN 165 WHEN 5 THEN 130 WHEN 6 THEN 115 WHEN 7 THEN 100 WHEN 8 THEN 85 ELSE 65 END AS kbps FROM events",
-    "f11_effective_profile": "SELECT event_id, CASE WHEN prof = 0 AND NOT copyable THEN 'flac' WHEN prof = 0 THEN 'original' WHEN prof <= 2 THEN 'mp3' WHEN prof = 3 THEN 'flac' ELSE 'wav' END AS kind, CASE WHEN prof = 0 AND copyable THEN lossy ELSE prof IN (1, 2) END AS is_lossy FROM " + FACTS,
-    "f12_size_estimate": "SELECT event_id, {t0} AS bytes FROM (SELECT event_id, CASE WHEN prof = 0 AND copyable THEN kbps * 125.0 * secs WHEN prof = 1 THEN 190 * 125.0 * secs WHEN prof = 2 THEN 320 * 125.0 * secs WHEN prof IN (0, 3) THEN " + PCM + " * greatest(bits / 16.0, 1) * 0.58 ELSE " + PCM + " END AS b FROM " + FACTS + ") y",
-    "f13_warnings": "SELECT event_id, CASE WHEN lossy AND prof >= 3 THEN 'lossless from lossy;' ELSE '' END || CASE WHEN lossy AND prof IN (1, 2) THEN 're-encoded;' ELSE '' END || CASE WHEN lossy AND prof = 2 AND 320 > kbps * 1.15 THEN 'bitrate above source;' ELSE '' END || CASE WHEN bits > 16 AND prof > 3 THEN 'depth cut;' ELSE '' END || CASE WHEN rate > 48000 AND prof IN (1, 2) THEN 'rate cut;' ELSE '' END AS warnings FROM " + FACTS,
-    "f15_sanitize": "SELECT page_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS stem FROM (SELECT page_id, substring(trim(regexp_replace(regexp_replace(trim(regexp_replace(name, '[/:*?\"<>|]', '_'{all})), '^[.]+', ''), '[.]+$', '')), 1, 180) AS s FROM " + NAMES + ") y",
-    "f16_naming_template": "SELECT page_id, replace(replace(replace(replace('{{nn}} - {{title}} [{{source}}] {{n}}', '{{nn}}', lpad(CAST(page_id AS {str}), CAST(greatest(2, length(CAST(page_id AS {str}))) AS INT), '0')), '{{n}}', CAST(page_id AS {str})), '{{title}}', name), '{{source}}', 'set') AS stem FROM " + NAMES,
-    "f17_rename": "SELECT page_id, CASE WHEN stem = name THEN NULL ELSE stem || '.mp3' END AS renamed FROM (SELECT page_id, name, trim(regexp_replace(name, '[/:]', '_'{all})) AS stem FROM " + NAMES + ") y",
-    "f19_is_time": "SELECT event_id, v, {like}(v, '^[0-9][0-9]?(:[0-9][0-9]?)(:[0-9][0-9]?)?$') AS is_time FROM (SELECT event_id, CAST(event_id % 130 AS {str}) || ':' || CAST(event_id % 61 AS {str}) AS v FROM events) x",
-    "f20_newer_version": "SELECT event_id, {like}(v, '^v?[0-9]+[.][0-9]+[.][0-9]+') AND (a > 2 OR (a = 2 AND (b > 1 OR (b = 1 AND c > 9)))) AS newer FROM (SELECT event_id, v, CAST(regexp_extract(v, '([0-9]+)[.]([0-9]+)[.]([0-9]+)', 1) AS BIGINT) AS a, CAST(regexp_extract(v, '([0-9]+)[.]([0-9]+)[.]([0-9]+)', 2) AS BIGINT) AS b, CAST(regexp_extract(v, '([0-9]+)[.]([0-9]+)[.]([0-9]+)', 3) AS BIGINT) AS c FROM (SELECT event_id, 'v' || CAST(event_id % 4 AS {str}) || '.' || CAST(event_id % 3 AS {str}) || '.' || CAST(event_id % 13 AS {str}) || '-beta' AS v FROM events) y) z",
-    "f21_clean_version": "SELECT event_id, CASE WHEN {like}(v, '^[0-9A-Za-z.-]{{1,20}}$') THEN v ELSE 'unknown' END AS version FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '1.0 <x>' ELSE '0.' || CAST(event_id AS {str}) END AS v FROM events) x",
-    "f22_byte_range": "SELECT event_id, CASE WHEN a >= 100 OR b < a THEN NULL ELSE a END AS first, CASE WHEN a >= 100 OR b < a THEN NULL ELSE least(b, 99) END AS last FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN greatest(100 - event_id % 150, 0) ELSE event_id % 120 END AS a, CASE WHEN event_id % 4 <= 1 THEN 99 ELSE event_id % 120 + event_id % 30 - 5 END AS b FROM events) x",
-    "f23_progress": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 8 = 0 THEN 1.0 ELSE round(greatest(least(value / (CASE WHEN event_id % 3 = 0 THEN 400.5 ELSE 500 END), 1), 0), 6) END AS fraction FROM events",
-    "f24_error_hint": "SELECT event_id, CASE WHEN event_type LIKE '%error%' THEN 'fault' WHEN event_type LIKE '%click%' THEN 'input' WHEN event_type LIKE '%view%' THEN 'display' ELSE 'other' END AS hint FROM events",
-    "f25_hex_word": "SELECT doc_id, regexp_extract(lower(text), '([0-9a-f]{{8}})', 1) AS word FROM documents",
-    "f27_frame_seconds": "SELECT event_id, CAST(round(greatest(event_id / 44100e0 - 0.0232e0, 0), 6) AS DOUBLE) AS secs, CAST(round((value + 0.0232) * 44100) AS BIGINT) AS frame FROM events",
-    "f28_rescale": "SELECT event_id, event_id * 90000 // 44100 AS ticks FROM events",
-    "f32_tick_step": "SELECT event_id, CAST(step AS DOUBLE) AS step FROM (SELECT event_id, CASE WHEN s <= 0.1 THEN 0.1 WHEN s <= 0.2 THEN 0.2 WHEN s <= 0.5 THEN 0.5 WHEN s <= 1 THEN 1 WHEN s <= 2 THEN 2 WHEN s <= 5 THEN 5 WHEN s <= 10 THEN 10 WHEN s <= 20 THEN 20 WHEN s <= 30 THEN 30 WHEN s <= 60 THEN 60 ELSE 1200 END AS step FROM (SELECT event_id, value / 10 AS s FROM events) x) y",
     "f42_flag": "SELECT event_id, NOT (v IS NULL OR v = '' OR lower(v) IN ('0', 'false', 'no')) AS flag FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'No' WHEN 3 THEN '0' WHEN 4 THEN 'FALSE' ELSE 'yes' END AS v FROM events) x",
     "f43_consent": "SELECT event_id, event_id % 2 = 0 AND NOT event_id % 7 = 0 AND coalesce(CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END, event_id % 5 = 0) AS sends FROM events",
-    "f44_path_token": "SELECT page_id, regexp_extract(url, '/([^/.?]*)[^/]*$', 1) AS token FROM pages",
-    "f45_ab_window": "SELECT event_id, a AS start, least(a + 12, 480) AS stop FROM (SELECT event_id, greatest(least(event_id % 500, 468), 0) AS a FROM events) x",
     "f46_title": "SELECT page_id, CASE WHEN trim(t) = '' THEN 'Track ' || CAST(page_id AS {str}) ELSE trim(t) END AS title FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '  ' ELSE ' ' || name || ' ' END AS t FROM " + NAMES + ") y",
-    "f3_fmt_bytes": "SELECT event_id, CASE WHEN b >= 1000000000 THEN 'GB' WHEN b >= 1000000 THEN 'MB' ELSE 'kB' END AS unit, round(CASE WHEN b >= 1000000000 THEN b / 1000000000 WHEN b >= 1000000 THEN b / 1000000 ELSE b / 1000 END, 1) AS amount FROM (SELECT event_id, power(value + 1, 3.4) AS b FROM events) x",
     "f14_labels": "SELECT event_id, CASE prof WHEN 0 THEN 'Original' WHEN 1 THEN 'MP3 V2' WHEN 2 THEN 'MP3 320 kbps' WHEN 3 THEN 'FLAC' ELSE 'WAV 16-bit' END AS label FROM " + FACTS,
-    "f41_pixel_frame": "SELECT event_id, {t1} AS frame FROM (SELECT event_id, 1000 + greatest(least((value - 50) / 300, 1), 0) * 48000 AS f FROM events) x",
-    "p1_extension": "SELECT page_id, lower(regexp_extract(name, '[.]([A-Za-z0-9]+)$', 1)) IN ('mp3', 'wav') AS audio FROM (SELECT page_id, name || CASE page_id % 3 WHEN 0 THEN '.MP3' WHEN 1 THEN '.wav' ELSE '.flac' END AS name FROM " + NAMES + ") y",
     "p6_done": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'",
     "p9_source_facts": "SELECT event_id, CASE WHEN k = 0 THEN lo WHEN k = 1 THEN (lo + hi) // 2 ELSE {t2} END AS kbps, k < 2 AS lossy FROM (SELECT event_id, event_id % 3 AS k, 96 + event_id % 64 AS lo, 192 + event_id % 64 AS hi, value * 8 / 1000 / greatest(value / 900, 1) AS r FROM events) x",
     "p10_recent": "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL '7' DAY",
@@ -62,7 +34,6 @@ Q: dict[str, str] = {
     "j8_pending": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
     "j9_sidebar": "SELECT c.c_custkey, CASE WHEN l.toxic = 1 THEN 'export' WHEN d.n > 20 THEN CAST(d.n AS {str}) || ' orders' WHEN d.n IS NULL THEN 'pending' ELSE s.s_name END AS status FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) d ON d.o_custkey = c.c_custkey LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey LEFT JOIN labels l ON l.doc_id = c.c_custkey",
     "j16_version_lookup": "SELECT a.n_nationkey, a.n_nationkey > b.newest AS newer FROM nation a CROSS JOIN (SELECT max(r_regionkey) AS newest FROM region) b",
-    "j17_manifest": "SELECT event_id, min(hash) AS hash FROM (SELECT event_id, substring(line, 1, 6) AS hash, trim(substring(line, 7, 20)) AS name FROM (SELECT event_id, lpad(CAST(event_id AS {str}), 6, '0') || '  ' || event_type AS line FROM events) x) y WHERE name = 'purchase' GROUP BY event_id",
     "o1_sort_names": "SELECT c_custkey, CAST(row_number() OVER (ORDER BY lower(c_name), c_name, c_custkey) AS BIGINT) AS place FROM customer",
     "o3_version_sort": "SELECT event_id, CAST(row_number() OVER (ORDER BY event_id % 3 DESC, event_id % 11 DESC, event_id % 101 DESC, event_id) AS BIGINT) AS place FROM events",
     "o4_first_rows": "SELECT event_id, ts FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS k FROM events) x WHERE k <= 200",
@@ -77,15 +48,9 @@ Q: dict[str, str] = {
     "e13_shift": "SELECT event_id, event_id + 1024 AS pos FROM events",
     "e14_detect_params": "SELECT event_id, least(-45 + (event_id % 20 - 10) * 3, -6) AS threshold, CAST(greatest(1.5 + (event_id % 12 - 6) * 0.25, 0.25) AS DOUBLE) AS silence FROM events",
     "e15_auto_detect": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'done' WHEN event_id % 3 = 1 THEN 'tag' ELSE 'detect' END AS step FROM events",
-    "k3_cut_plan": "SELECT event_id, greatest(a // 1152 - 2, 0) AS first_frame, a // 1152 > 2 AS carrier, least(a - greatest(a // 1152 - 2, 0) * 1152 + 529, 4095) AS delay FROM (SELECT event_id, event_id * 977 AS a FROM events) x",
-    "f30_mp3_header": "SELECT event_id, 144000 * k // 44100 + p AS frame_len FROM (SELECT event_id, 32 + event_id % 14 * 16 AS k, event_id % 2 AS p FROM events) x",
-    "f31_side_info": "SELECT event_id, CASE WHEN v1 AND mono THEN 17 WHEN v1 THEN 32 WHEN mono THEN 9 ELSE 17 END AS side FROM (SELECT event_id, event_id % 2 = 0 AS v1, event_id % 3 = 0 AS mono FROM events) x",
     "f35_view": "SELECT event_id, greatest(0, least(event_id - 300, 9000)) AS start, greatest(2.0, least(600.0, value * 2)) AS span FROM events",
-    "f40_ruler": "SELECT n_nationkey, t FROM (SELECT n_nationkey, r_regionkey * 10 + n_nationkey AS t FROM nation CROSS JOIN region) x WHERE (t - n_nationkey) * 100 < 96 * 40",
 }
-_OWN = {
-    "f12_size_estimate": ("t0", "b"), "f41_pixel_frame": ("t1", "f"), "p9_source_facts": ("t2", "r"),
-}
+_OWN = {"p9_source_facts": ("t2", "r")}
 
 
 def sql(name: str, dialect: dict[str, str]) -> str:
