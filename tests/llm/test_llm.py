@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wavespan.llm import edits, licenses, media, packing, pitman_yor, queries, rules, simhash, tokens, toxicity
@@ -260,6 +261,16 @@ def test_language_model(spark, texts, odd):
     assert pitman_yor.score_texts(odd.limit(0), id_remainder(10) != 0).count() == 0
 
 
+def test_contexts_are_whole_words(spark):
+    """Unseen words before a seen one all give it the same probability, whichever hashes resemble a seen word's."""
+    top = lambda w: xxhash.xxh64_intdigest(w, 7) >> 48
+    like = next(w for w in (f"u{k}" for k in range(10**7)) if top(w) == top("alpha"))
+    rows = [(k, "alpha beta" if k % 2 else "gamma delta") for k in range(400)] + [(1000, f"{like} beta"), (1001, "other beta")]
+    got = pitman_yor.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).toPandas().set_index("doc_id")
+    assert got.score[1000] == pytest.approx(got.score[1001], abs=1e-5)
+    assert got.score[1] > got.score[1001] + 1
+
+
 def test_model_probabilities_add_up():
     """Of the parent, over all words and an unseen one; of a context restaurant that backs off to it."""
     customers, tables = np.array([5.0, 3, 1, 1]), np.array([2.0, 1, 1, 1])

@@ -1,14 +1,15 @@
 """Hierarchical Pitman-Yor language model over the whole corpus, sampled by Gibbs in independent units.
 
-A word's restaurant is that of its context: the class of the word before it (65,536 classes by hash, so what
-belongs to contexts has a fixed size). All context restaurants share one parent, the restaurant of words without
-context, whose base is uniform over the V words of the training text and one unseen word. A table of a context
-restaurant is a customer of the parent.
-
-The corpus is dealt by word to units of bounded size, each written once as one row. Words with over 1/4096 of all
-tokens are dealt by word and context instead, so that no unit gets more than its share of them. Three passes read
-the units: counts; Gibbs sweeps, whose table totals by context are summed over the units; and the same sweeps
-again, now with the sums, for scores. Each sample's predictive probabilities add up to one; their average counts.
+A word's restaurant is that of its context, the word before it by its 64-bit hash. All context restaurants share
+one parent, the restaurant of words without context, whose base is uniform over the V words of the training text and
+one unseen word. A table of a context restaurant is a customer of the parent.
+
+The corpus is dealt by word to units of bounded size, written as rows. Words with over 1/4096 of all tokens are
+dealt by word and context instead, so that no unit gets more than its share of them. A context's customers and
+tables are in many units: each unit deals its own out by context to buckets, a bucket sums them and sends the sums
+back to the units that have the context, so nothing is held for all contexts at once. Units are read for counts, for
+Gibbs sweeps, whose samples are written, and with the samples' sums for scores. Each sample's predictive
+probabilities add up to one; their average counts.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from wavespan.llm.common import id_and_text, materialize, steps
 
-CLASSES = 1 << 16
 BEGIN, END = (xxhash.xxh64_intdigest(x, 7) for x in (b"\x20begin", b"\x20end"))
 BLOCK_CHARS = 3_000_000
 #: Tokens of a unit, on average.
 UNIT_TOKENS = 300_000
+#: Units to a bucket of contexts, on average.
+BUCKET_UNITS = 8
 HOT = 4096
 #: Entries of documents that a task holds before it hands on their sums.
 HELD = 2_000_000
@@ -43,7 +45,8 @@ ADD = 0.1
 
 
 def _put(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), a.nbytes) + a.tobytes() for a in arrays)
+    """Arrays with their first bytes first, then their second ones and so on: high bytes of small numbers are runs."""
+    raw = b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), a.nbytes) + np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -51,11 +54,21 @@ def _get(blob: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     while at < len(raw):
         kind, n = struct.unpack_from("<2sq", raw, at)
-        out.append(np.frombuffer(raw, kind.decode(), n // int(kind[1:]), at + 10))
+        size = int(kind[1:])
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n, at + 10).reshape(size, n // size).T).view(kind.decode()).reshape(-1))
         at += 10 + n
     return out
 
 
+def _gaps(x: np.ndarray) -> np.ndarray:
+    """Differences to the entry before, around zero; cumsum of the same type gives the entries."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _ungapped(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=x.dtype)
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all texts' words, where each text's words begin)."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
@@ -70,7 +83,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, class of its context, number of its text) for each token, the ends included."""
+    """(word, the word before it, number of its text) for each token, the ends included."""
     word, at = tokens(texts)
     n = np.diff(at) + 1
     ends = np.cumsum(n) - 1
@@ -80,29 +93,61 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[inside], out[ends] = word, END
     before = np.concatenate((np.array([BEGIN], np.uint64), out[:-1]))
     before[np.concatenate(([0], ends[:-1] + 1))] = BEGIN
-    return out, (before >> np.uint64(48)).astype(np.uint16), np.repeat(np.arange(len(texts)), n)
+    return out, before, np.repeat(np.arange(len(texts)), n)
 
 
-def _sum_rows(out: dict[int, np.ndarray]):
+def _sum_rows(out: dict[int, dict[int, list[float]]]):
     for kind, table in out.items():
-        keys = np.array(list(table), np.int64) if isinstance(table, dict) else np.flatnonzero(table.any(axis=0))
-        values = np.array(list(table.values()), float) if isinstance(table, dict) else table[:, keys].T
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys), pa.array(values.tolist(), pa.list_(pa.float64()))], names=["kind", "key", "v"])
+        if table:
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(table), pa.int32()), pa.array(list(table), pa.int64()), pa.array([list(map(float, v)) for v in table.values()], pa.list_(pa.float64()))], names=["kind", "key", "v"])
 
 
 SUMS = "kind int, key long, v array<double>"
-CLASS, WORD, TOTAL = 0, 1, 2
+WORD, TOTAL = 0, 1
 
 
 def _summed(df: DataFrame, width: int) -> dict[int, dict[int, list[float]]]:
-    """Sums by kind and key: at most a row for each class, hot word and total, however large the corpus."""
-    out: dict[int, dict[int, list[float]]] = {CLASS: {}, WORD: {}, TOTAL: {}}
+    """Sums by kind and key: at most a row for each hot word and total, however large the corpus."""
+    out: dict[int, dict[int, list[float]]] = {WORD: {}, TOTAL: {}}
     for row in df.groupBy("kind", "key").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(width)]).collect():
         out[row[0]][row[1]] = list(row[2:])
     return out
 
 
+#: Rows of units: a unit's number with one of its parts, or with what it has of a bucket of contexts.
+ROWS = "unit long, block long, payload binary"
+PAIRS, TOKENS, DRAWN, HOT_DRAWN = -1, -2, -3, -4
+
+
+def _cuts(buckets: int, contexts: np.ndarray) -> np.ndarray:
+    """Where each bucket begins among sorted contexts."""
+    bucket = ((contexts >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _dealt(number: int, buckets: int, contexts: np.ndarray, *values: np.ndarray):
+    """(unit, bucket, the bucket's contexts and their values)."""
+    cut = _cuts(buckets, contexts)
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        own = slice(cut[k], cut[k + 1])
+        yield number, k, _put(_gaps(contexts[own]), *[v[own] for v in values])
+
+
+def _bucket_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: the sums over all units of each unit's contexts, in the unit's order."""
+    parts = [_get(x) for x in pdf["payload"]]
+    _, place = np.unique(np.concatenate([_ungapped(p[0]) for p in parts]), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate([p[k] for p in parts])).astype("<u8")[place] for k in range(1, len(parts[0]))]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return pd.DataFrame({"unit": pdf["unit"], "block": pdf["block"], "payload": [_put(*[v[e - len(p[0]) : e] for v in sums]) for p, e in zip(parts, ends, strict=True)]})
+
+
+def _of_contexts(pdf: pd.DataFrame) -> list[np.ndarray]:
+    """The sums of a unit's contexts, in the contexts' order."""
+    parts = [_get(x) for x in pdf[pdf["block"] >= 0].sort_values("block")["payload"]]
+    return [np.concatenate(column).astype(float) for column in zip(*parts, strict=True)]
+
+
 # ---- corpus to units -------------------------------------------------------------------------
 
 
@@ -137,31 +182,36 @@ def _messages(units: int, hot: np.ndarray):
                 unit = word % np.uint64(units)
                 if len(hot):
                     split = np.isin(word, hot)
-                    unit[split] = (word[split] ^ (context[split].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(units)
-                order = np.lexsort((word, unit))
+                    unit[split] = (word[split] ^ (context[split] * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(units)
+                order = np.lexsort((context, word, unit))
                 word, context, doc, unit = word[order], context[order], (2 * doc + train[a:b][doc])[order].astype("<u4"), unit[order]
                 for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate(([0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]))), strict=True):
-                    own = word[lo:hi]
-                    start = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [hi - lo]))
-                    rows.append((int(unit[lo]), block, _put(own[start[:-1]].astype("<u8"), np.diff(start).astype("<u4"), context[lo:hi].astype("<u2"), doc[lo:hi])))
+                    own, before = word[lo:hi], context[lo:hi]
+                    other = own[1:] != own[:-1]
+                    pair = np.concatenate(([0], np.flatnonzero(other | (before[1:] != before[:-1])) + 1, [hi - lo]))
+                    start = np.concatenate(([0], np.flatnonzero(other) + 1, [hi - lo]))
+                    rows.append((int(unit[lo]), block, _put(_gaps(own[start[:-1]]), np.diff(np.searchsorted(pair, start)).astype("<u4"), before[pair[:-1]].astype("<u8"), np.diff(pair).astype("<u4"), doc[lo:hi])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["unit", "block", "payload"])
 
     return run
 
 
 def _merge(key, pdf):
-    """A unit as one row: words, pairs of word and context with training counts, tokens by pair and document."""
+    """A unit as two rows: words, contexts, pairs of both with training counts; and tokens by pair and document."""
     if key[0] < 0:
         return pdf
     parts = [_get(x) for x in pdf["payload"]]
-    words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    words, place = np.unique(np.concatenate([_ungapped(p[0]) for p in parts]), return_inverse=True)
+    contexts, before = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
     word = np.repeat(place, np.concatenate([p[1] for p in parts]))
-    pair, place = np.unique(word.astype(np.int64) * CLASSES + np.concatenate([p[2] for p in parts]), return_inverse=True)
-    doc = np.concatenate([p[3] for p in parts])
+    pair, place = np.unique(word.astype(np.int64) * len(contexts) + before, return_inverse=True)
+    place = np.repeat(place, np.concatenate([p[3] for p in parts]))
+    doc = np.concatenate([p[4] for p in parts])
     count = np.bincount(place, weights=doc & 1, minlength=len(pair))
-    rows = np.array([len(p[3]) for p in parts])
-    blob = _put(words, (pair // CLASSES).astype("<u4"), (pair % CLASSES).astype("<u2"), count.astype("<u4"), place.astype("<u4"), (doc >> 1).astype("<u4"), pdf["block"].to_numpy("<i8"), rows.astype("<u4"))
-    return pd.DataFrame({"unit": [key[0]], "block": [-1], "payload": [blob]})
+    rows = np.array([len(p[4]) for p in parts])
+    pairs = _put(_gaps(words), _gaps(contexts), _gaps((pair // len(contexts)).astype("<u4")), _gaps((pair % len(contexts)).astype("<u4")), count.astype("<u4"))
+    tokens_of = _put(_gaps(place.astype("<u4")), (doc >> 1).astype("<u4"), pdf["block"].to_numpy("<i8"), rows.astype("<u4"))
+    return pd.DataFrame({"unit": [key[0]] * 2, "block": [PAIRS, TOKENS], "payload": [pairs, tokens_of]})
 
 
 # ---- seating ---------------------------------------------------------------------------------
@@ -221,17 +271,21 @@ class Seating:
 
 
 class Unit:
-    """A unit's counts, and samples that are the same whenever they are drawn."""
+    """A unit's counts, and its samples."""
 
     def __init__(self, number: int, blob: bytes):
         self.number = number
-        self.words, self.word, self.context, self.count, self.place, self.doc, self.block, self.rows = _get(blob)
+        *gaps, self.count = _get(blob)
+        self.words, self.contexts, self.word, self.context = map(_ungapped, gaps)
         self.count = self.count.astype(np.int64)
 
     def by_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, weights=values, minlength=len(self.words))
 
-    def samples(self, model: dict):
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=values, minlength=len(self.contexts)).astype("<u8")
+
+    def samples(self, model: dict, context_tables: np.ndarray):
         """After each sample: tables by pair, the parent's customers and tables by word (of hot words: here)."""
         rng = np.random.default_rng((11, self.number))
         discount, vocabulary = model["discount"], model["vocabulary"]
@@ -241,7 +295,7 @@ class Unit:
         for k in range(BURN_IN + SAMPLES):
             customers = self.by_word(tables) * share
             parent = parent_probability(customers, np.minimum(customers, 1), model["pairs"], vocabulary, vocabulary)
-            tables = seats.sweep((STRENGTH + discount * model["tables"][self.context]) * parent[self.word])
+            tables = seats.sweep((STRENGTH + discount * context_tables[self.context]) * parent[self.word])
             if k >= BURN_IN:
                 own = self.by_word(tables)
                 again = np.random.default_rng((12, self.number, k))
@@ -289,36 +343,34 @@ def score_texts(docs: DataFrame, train) -> DataFrame:
     corpus = seen[TOTAL].get(0, [0])[0]
     hot = np.sort(np.array([k for k, (n,) in seen[WORD].items() if n * 2 * HOT > corpus], np.int64).view(np.uint64))
     count = max(1, round(corpus / UNIT_TOKENS))
-    messages = rows.mapInArrow(_messages(count, hot), "unit long, block long, payload binary")
-    table = materialize(messages.groupBy("unit").applyInPandas(_merge, "unit long, block long, payload binary"), "pitman-yor-units")
+    buckets = -(-count // BUCKET_UNITS)
+    messages = rows.mapInArrow(_messages(count, hot), ROWS)
+    table = materialize(messages.groupBy("unit").applyInPandas(_merge, ROWS), "pitman-yor-units")
     del messages  # the shuffle behind the table isn't needed again; the cleaner removes it at a collection
     gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()
-    units = table.filter("unit >= 0").select("unit", "payload")
+    units = table.filter(f"unit >= 0 and block = {PAIRS}")
 
     def counts(batches):
-        by_class, by_word, total = np.zeros((2, CLASSES)), {}, np.zeros(4)
+        by_word, total = {}, np.zeros(5)
         for u in _units(batches):
             seen = u.count > 0
-            by_class += [np.bincount(u.context, u.count, CLASSES), np.bincount(u.context, seen, CLASSES)]
             own, pairs = u.by_word(u.count), u.by_word(seen)
             here, _ = Hot(hot).at(u)
             for k in here.tolist():
                 by_word[int(u.words[k].view(np.int64))] = [*np.add(by_word.get(int(u.words[k].view(np.int64)), [0, 0]), (own[k], pairs[k]))]
             cold = np.ones(len(own), bool)
             cold[here] = False
-            total += [(own[cold] > 0).sum(), (u.count == 1).sum(), (u.count == 2).sum(), seen.sum()]
-        yield from _sum_rows({CLASS: by_class, WORD: {k: [*v, 0, 0] for k, v in by_word.items()}, TOTAL: {0: total.tolist()}})
+            total += [(own[cold] > 0).sum(), (u.count == 1).sum(), (u.count == 2).sum(), seen.sum(), u.count.sum()]
+        yield from _sum_rows({WORD: {k: [*v, 0, 0, 0] for k, v in by_word.items()}, TOTAL: {0: total.tolist()}})
 
-    got = _summed(units.mapInArrow(counts, SUMS), 4)
-    context = np.zeros((2, CLASSES))
-    for k, v in got[CLASS].items():
-        context[:, k] = v[:2]
+    got = _summed(units.mapInArrow(counts, SUMS), 5)
     words = {np.int64(k).view(np.uint64): v for k, v in got[WORD].items()}
-    total = got[TOTAL].get(0, [0, 0, 0, 0])
+    total = got[TOTAL].get(0, [0, 0, 0, 0, 0])
     vocabulary = total[0] + sum(v[0] > 0 for v in words.values())
     discount = min(max(total[1] / max(total[1] + 2 * total[2], 1), 0.1), 0.95)
     known = np.array([words.get(w, [0, 0])[:2] for w in hot], float).reshape(-1, 2)
+    train_tokens = int(total[4])
 
     def share(u: Unit) -> np.ndarray:
         """Of each word, all pairs with context against this unit's."""
@@ -327,57 +379,89 @@ def score_texts(docs: DataFrame, train) -> DataFrame:
         out[here] = known[there, 1] / np.maximum(u.by_word(u.count > 0)[here], 1)
         return out
 
-    model = {"discount": discount, "vocabulary": vocabulary, "tables": context[1], "pairs": total[3], "share": share}
+    model = {"discount": discount, "vocabulary": vocabulary, "pairs": total[3], "share": share}
 
-    def draw(batches):
-        by_class, by_word, total = np.zeros((SAMPLES, CLASSES)), {}, np.zeros(SAMPLES)
+    def asked(batches):
         for u in _units(batches):
-            here, _ = Hot(hot).at(u)
-            cold = np.ones(len(u.words), bool)
-            cold[here] = False
-            hot_tables = np.zeros((len(here), SAMPLES))
-            for k, (tables, customers, parents) in enumerate(u.samples(model)):
-                by_class[k] += np.bincount(u.context, tables, CLASSES)
-                total[k] += parents[cold].sum()
-                hot_tables[:, k] = customers[here]
-            for k, row in zip(here.tolist(), hot_tables, strict=True):
-                key = int(u.words[k].view(np.int64))
-                by_word[key] = by_word.get(key, np.zeros(SAMPLES)) + row
-        yield from _sum_rows({CLASS: by_class, WORD: by_word, TOTAL: {0: total.tolist()}})
-
-    drawn = _summed(units.mapInArrow(draw, SUMS), SAMPLES)
-    tables = np.zeros((SAMPLES, CLASSES))
-    for k, v in drawn[CLASS].items():
-        tables[:, k] = v
-    hot_customers = np.array([drawn[WORD].get(int(w.view(np.int64)), [0] * SAMPLES) for w in hot], float).reshape(-1, SAMPLES)
+            out = list(_dealt(u.number, buckets, u.contexts, u.by_context(u.count), u.by_context(u.count > 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["unit", "block", "payload"])
+
+    def draw(key, pdf):
+        """A unit's samples, what it has of the hot words and in all, and its tables dealt by context."""
+        u = Unit(key[0], pdf.loc[pdf["block"] == PAIRS, "payload"].iloc[0])
+        customers, context_tables = _of_contexts(pdf)
+        here, there = Hot(hot).at(u)
+        cold = np.ones(len(u.words), bool)
+        cold[here] = False
+        drawn, hot_drawn, by_context = [customers.astype("<u8")], [there.astype("<u4")], []
+        for tables, own, parents in u.samples(model, context_tables):
+            drawn += [tables.astype("<u4"), parents.astype("<u4")]
+            hot_drawn += [own[here].astype("<u8"), np.array([parents[cold].sum(), tables.sum()], "<u8")]
+            by_context.append(u.by_context(tables))
+        out = [(u.number, DRAWN, _put(*drawn)), (u.number, HOT_DRAWN, _put(*hot_drawn)), *_dealt(u.number, buckets, u.contexts, *by_context)]
+        return pd.DataFrame(out, columns=["unit", "block", "payload"])
+
+    def hot_sums(batches):
+        own, all_ = np.zeros((len(hot), SAMPLES)), np.zeros(2 * SAMPLES)
+        for batch in batches:
+            for payload in batch.column("payload"):
+                there, *parts = _get(payload.as_py())
+                for k in range(SAMPLES):
+                    own[there, k] += parts[2 * k]
+                    all_[[k, SAMPLES + k]] += parts[2 * k + 1]
+        found = np.flatnonzero(own.any(axis=1)).tolist()
+        yield from _sum_rows({WORD: {k: [*own[k], *[0] * SAMPLES] for k in found}, TOTAL: {0: all_.tolist()}})
+
+    def bucket_sums(df: DataFrame) -> DataFrame:
+        return df.groupBy("block").applyInPandas(_bucket_sums, ROWS)
+
+    sampled = materialize(units.unionByName(bucket_sums(units.mapInArrow(asked, ROWS))).groupBy("unit").applyInPandas(draw, ROWS), "pitman-yor-samples")
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    drawn = _summed(sampled.filter(f"block = {HOT_DRAWN}").mapInArrow(hot_sums, SUMS), 2 * SAMPLES)
+    hot_customers = np.array([drawn[WORD].get(k, [0] * 2 * SAMPLES)[:SAMPLES] for k in range(len(hot))], float).reshape(-1, SAMPLES)
     fresh = np.full(len(hot), (PARENT_STRENGTH + PARENT_DISCOUNT * vocabulary) / (vocabulary + 1))
     hot_parents = np.array([seat_anew(hot_customers[:, k].astype(np.int64), fresh, PARENT_DISCOUNT, np.random.default_rng((13, k))) for k in range(SAMPLES)], float).reshape(SAMPLES, -1).T
-    parents = np.array(drawn[TOTAL].get(0, [0] * SAMPLES)) + hot_parents.sum(axis=0)
-    train_tokens = int(context[0].sum())
-
-    def score(batches):
+    in_all = np.array(drawn[TOTAL].get(0, [0] * 2 * SAMPLES))
+    parents, all_tables = in_all[:SAMPLES] + hot_parents.sum(axis=0), in_all[SAMPLES:]
+
+    def score(key, pdf):
+        """A unit's sums by document."""
+        part = pdf.set_index("block")["payload"]
+        u = Unit(key[0], part[PAIRS])
+        gaps, doc, block, rows = _get(part[TOKENS])
+        place = _ungapped(gaps)
+        customers, *seated = _get(part[DRAWN])
+        here, there = Hot(hot).at(u)
+        own = u.by_word(u.count)
+        own[here] = known[there, 0]
+        mean = np.zeros(len(u.word))
+        for k, context_tables in enumerate(_of_contexts(pdf)):
+            seats, above = seated[2 * k].astype(float), seated[2 * k + 1].astype(float)
+            below = u.by_word(seats)
+            below[here], above[here] = hot_customers[there, k], hot_parents[there, k]
+            word = parent_probability(below, above, all_tables[k], parents[k], vocabulary)
+            rest = STRENGTH + discount * context_tables[u.context]
+            mean += (u.count - discount * seats + rest * word[u.word]) / (STRENGTH + customers[u.context])
+        base = np.log10((own + ADD) / (train_tokens + ADD * (vocabulary + 1)))[u.word]
+        docs, at = np.unique(np.repeat(block, rows) << 23 | doc, return_inverse=True)
+        sums = [np.bincount(at, x[place], len(docs)) for x in (np.log10(mean / SAMPLES), base, (own > 0)[u.word])]
+        return pd.DataFrame({"unit": [u.number], "block": [0], "payload": [_put(docs, *sums)]})
+
+    def fold(batches):
         """Sums by document, as one row for each block that some of the task's units have tokens of."""
         held, size = [], 0
-        for u in _units(batches):
-            here, there = Hot(hot).at(u)
-            own = u.by_word(u.count)
-            own[here] = known[there, 0]
-            mean = np.zeros(len(u.word))
-            for k, (seats, customers, above) in enumerate(u.samples(model)):
-                customers[here], above[here] = hot_customers[there, k], hot_parents[there, k]
-                word = parent_probability(customers, above, tables[k].sum(), parents[k], vocabulary)
-                rest = STRENGTH + discount * tables[k][u.context]
-                mean += (u.count - discount * seats + rest * word[u.word]) / (STRENGTH + context[0][u.context])
-            base = np.log10((own + ADD) / (train_tokens + ADD * (vocabulary + 1)))[u.word]
-            docs, place = np.unique(np.repeat(u.block, u.rows) << 23 | u.doc, return_inverse=True)
-            held.append((docs, *[np.bincount(place, x[u.place], len(docs)) for x in (np.log10(mean / SAMPLES), base, (own > 0)[u.word])]))
-            size += len(docs)
-            if size > HELD:
-                yield from _by_block(held)
-                held, size = [], 0
+        for batch in batches:
+            for payload in batch.column("payload"):
+                held.append(tuple(_get(payload.as_py())))
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield from _by_block(held)
+                    held, size = [], 0
         yield from _by_block(held)
 
-    sums = units.mapInArrow(score, "block long, payload binary, sums boolean")
+    parts = table.filter("unit >= 0").unionByName(sampled.filter(f"block = {DRAWN}")).unionByName(bucket_sums(sampled.filter("block >= 0")))
+    sums = parts.groupBy("unit").applyInPandas(score, ROWS).mapInArrow(fold, "block long, payload binary, sums boolean")
     names = table.filter("unit < 0").select("block", "payload", F.lit(False).alias("sums"))
 
     def whole(key, pdf):
