@@ -300,6 +300,55 @@ def test_licenses(spark, odd):
     assert not licenses.scan_block("The permission slip was signed by a parent.")
 
 
+WRAPPED = {
+    "MIT": """
+        Permission is hereby granted, free of charge, to any person obtaining a copy
+        of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is
+        furnished to do so, subject to the following conditions:
+
+        The above copyright notice and this permission notice shall be included in all
+        copies or substantial portions of the Software.
+
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR""",
+    "BSD-2-Clause": """
+        Redistribution and use in source and binary forms, with or without
+        modification, are permitted provided that the following conditions are met:
+
+        1. Redistributions of source code must retain the above copyright notice, this
+           list of conditions and the following disclaimer.
+
+        2. Redistributions in binary form must reproduce the above copyright notice,
+           this list of conditions and the following disclaimer in the documentation
+           and/or other materials provided with the distribution.""",
+    "Apache-2.0": """
+        # Licensed under the Apache License, Version 2.0 (the "License");
+        # you may not use this file except in compliance with the License.
+        # You may obtain a copy of the License at
+        #
+        #     http://www.apache.org/licenses/LICENSE-2.0
+        #
+        # Unless required by applicable law or agreed to in writing, software
+        # distributed under the License is distributed on an "AS IS" BASIS,
+        # WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "GPL-3.0": """
+        This program is free software: you can redistribute it and/or modify
+        it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.""",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrapped_licenses(name):
+    text = f"Notes on the build\n\nCopyright (c) 2020 X. Y.\n{WRAPPED[name]}\n\nAn end of another kind."
+    (block,) = licenses.candidate_blocks(text)
+    assert text[block.start : block.stop] == block.text
+    assert name in {r[0] for r in licenses.scan_block(block.text)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
