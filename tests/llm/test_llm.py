@@ -349,6 +349,19 @@ def test_wrapped_licenses(name):
     assert name in {r[0] for r in licenses.scan_block(block.text)}
 
 
+def test_licenses_beside_exact_ones():
+    changed = licenses.TEMPLATES["MIT"].replace("free of charge", "for free")
+    found = {r[0]: r[5] for r in licenses.scan_block(changed + " Licensed under CC BY 4.0.")}
+    assert set(found) == {"MIT", "CC-BY-4.0 notice"} and found["CC-BY-4.0 notice"] == "" and "-charge" in found["MIT"]
+
+
+def test_short_notice_in_a_long_block():
+    words = np.random.default_rng(0).permutation([f"w{k}x{k * k}" for k in range(600)])
+    around = [f"The warranty of {' '.join(words[k : k + 6])} has gone." for k in range(0, 600, 6)]
+    text = " ".join([*around[:50], "Distributed under the BSD License.", *around[50:]])
+    assert [r[0] for r in licenses.scan_block(text)] == ["BSD notice"]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
