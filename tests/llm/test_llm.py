@@ -245,6 +245,14 @@ def test_forest_isolates_what_is_far():
     assert score[-1] > np.quantile(score[:-1], 0.999)
 
 
+def test_forest_threshold_uses_both_labels(spark):
+    assert rules.best_threshold([(400, 90, 1), (450, 8, 2), (500, 1, 40), (700, 1, 7)]) == 0.45
+    assert rules.best_threshold([(400, 9, 0)]) == rules.best_threshold([(400, 0, 9)]) == rules.UNLABELLED
+    got = run(spark, "op9_quality_rules").merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
+    own = got[~got["base_failed"]]
+    assert (~own[own["quality"] == 0]["kept"]).mean() > 0.5 and own[own["quality"] == 1]["kept"].mean() > 0.8
+
+
 def test_language_model(spark, texts, odd):
     got = run(spark, "op10_lm_scoring").set_index("doc_id")
     words = {i: [*WORDS.findall(t.encode().lower()), None] for i, t in texts.items()}

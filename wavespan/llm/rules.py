@@ -18,8 +18,8 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 #: The forest: trees, rows that each tree splits (the method's subsample), rows it draws them from.
 TREES, SUBSAMPLE, POOL = 100, 256, 8192
-#: Share of the labelled good rows that the threshold may reject.
-SPARE = 0.002
+#: The threshold where labels don't give one.
+UNLABELLED = 0.7
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["distinct_words", "upper_chars", "punctuation", "digits", "n_lines", "n_chars", "same_as_last"]
 PUNCTUATION = "!?.,;:'\"()-"
@@ -150,13 +150,27 @@ def grow(pool: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE) -> Is
     return IsolationForest(feature[kept], split[kept], left[kept], length[kept], size)
 
 
-def forest_verdicts(docs: DataFrame, labels: DataFrame, spare: float = SPARE) -> DataFrame:
+def best_threshold(steps: list[tuple[int, int, int]]) -> float:
+    """From (thousandth of the score, good rows, bad rows): the threshold with the least sum of the shares of good
+    rows over it and of bad rows up to it; of equal ones the highest. Both kinds are needed."""
+    good, bad = sum(g for _, g, _ in steps), sum(b for _, _, b in steps)
+    if not good or not bad:
+        return UNLABELLED
+    least, threshold, good_over, bad_under = 2.0, UNLABELLED, good, 0
+    for step, g, b in sorted(steps):
+        good_over, bad_under = good_over - g, bad_under + b
+        if (error := good_over / good + bad_under / bad) <= least:
+            least, threshold = error, step / 1000
+    return threshold
+
+
+def forest_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, BASE..., base_failed, score, kept) for every row.
 
     Rows that fail the base rules are not kept. The others are kept unless the forest's score is over the
-    threshold: the least score, of a thousand, that rejects at most ``spare`` of the rows labelled quality 1.
-    Without such rows the threshold is 0.7. The forest's pool is drawn from the rows that pass the base rules,
-    by a hash of doc_id; POOL bounds it. Null and empty texts fail; an empty table gives an empty result.
+    threshold: that of the least balanced error, of a thousand, on the rows labelled quality 1 or 0. Where a doc_id
+    has several labels, the largest counts. Without rows of both labels the threshold is 0.7. The forest's pool is
+    drawn from the rows that pass the base rules, by a hash of doc_id; POOL bounds it. Null and empty texts fail; an empty table gives an empty result.
     """
     table = materialize(rule_statistics(docs).withColumn("base_failed", base_failed()), "rules-statistics")
     names = BASE + MORE
@@ -169,12 +183,7 @@ def forest_verdicts(docs: DataFrame, labels: DataFrame, spare: float = SPARE) ->
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("doc_id", *BASE, "base_failed")], pa.array(forest.score(shapes(rows)))], names=["doc_id", *BASE, "base_failed", "score"])
 
     scored = table.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, score double")
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    steps_of = scored.filter("not base_failed").join(good, "doc_id", "left_semi").groupBy(F.ceil(F.col("score") * 1000).alias("step")).count().orderBy("step").collect()
-    total, below, threshold = sum(r["count"] for r in steps_of), 0, 0.7
-    for r in steps_of:
-        below += r["count"]
-        if total - below <= spare * total:
-            threshold = r["step"] / 1000
-            break
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    steps_of = scored.filter("not base_failed").join(known, "doc_id").groupBy(F.ceil(F.col("score") * 1000).alias("step")).agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    threshold = best_threshold([tuple(r) for r in steps_of.collect()])
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") <= F.lit(threshold)))
