@@ -8,11 +8,13 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python lists and strings of one step hold so many characters at most, or one text.
+#: Python lists and strings of one step hold so many characters (of a column: UTF-8 bytes) at most, or one text.
 STEP_CHARS = 1_000_000
 
 
@@ -53,12 +55,42 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints/wavespan"
 
 
+#: Lets Spark remove a query's shuffle files when the query has ended; unknown to versions that lack it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _files(spark: SparkSession, path: str):
+    """(the path, its file system), which the driver's JVM knows."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table goes when the driver ends, or earlier by ``discard``; the write's own shuffle files go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/wavespan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wavespan_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for table in tables:
+        at, files = _files(table.sparkSession, table._wavespan_path)
+        files.delete(at, True)
 
 
 def steps(texts: list[str], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
@@ -73,12 +105,27 @@ def steps(texts: list[str], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def arrow_steps(texts: pa.Array, size: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of a column without nulls with at most ``size`` UTF-8 bytes, or one text; no Python string is made."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, stop
+        start = stop
+
+
+def strings(texts: pa.Array, a: int, b: int) -> list[str]:
+    return texts.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()
+
+
 def id_text_steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """The doc_id column and texts of small runs of rows, whole texts."""
+    """The doc_id column and texts of small runs of rows, whole texts; only a run's texts are Python strings."""
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_numpy(zero_copy_only=False).tolist()
-        for a, b in steps(texts):
-            yield ids.slice(a, b - a), texts[a:b]
+        ids, texts = batch.column("doc_id"), batch.column("text")
+        for a, b in arrow_steps(texts):
+            yield ids.slice(a, b - a), strings(texts, a, b)
 
 
 def words(text: str) -> list[bytes]:
