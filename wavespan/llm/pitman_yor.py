@@ -118,7 +118,8 @@ def _cuts(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hashes of the distinct words, all texts' words as places there, where each text's words begin)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    own = texts.take(pa.array(np.arange(len(texts))))  # a copy: ascii_lower reads the wrong bytes of a slice
+    split = pc.ascii_split_whitespace(pc.ascii_lower(own.cast(pa.large_string())))
     flat, at = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
     full = pc.not_equal(flat, "")
     if not pc.all(full).as_py():
