@@ -279,26 +279,6 @@ def test_contexts_are_whole_words(spark):
     assert got.score[1] > got.score[1001] + 1
 
 
-def test_model_probabilities_add_up():
-    """Of the parent, over all words and an unseen one; of a context restaurant that backs off to it."""
-    customers, tables = np.array([5.0, 3, 1, 1]), np.array([2.0, 1, 1, 1])
-    parent = pitman_yor.parent_probability(np.append(customers, 0), np.append(tables, 0), customers.sum(), tables.sum(), 4)
-    assert parent.sum() == pytest.approx(1)
-    count, seats = np.array([4, 0, 2, 0, 0]), np.array([2, 0, 1, 0, 0])
-    rest = pitman_yor.STRENGTH + 0.6 * seats.sum()
-    assert ((count - 0.6 * seats + rest * parent) / (pitman_yor.STRENGTH + count.sum())).sum() == pytest.approx(1)
-
-
-def test_seating_matches_the_exact_posterior():
-    """Tables of a dish of three customers: P(t) is in proportion to the summed weights of its partitions."""
-    d, fresh, n = 0.5, 0.8, 40_000
-    seats = pitman_yor.Seating(np.full(n, 3), d, np.random.default_rng(1))
-    for _ in range(30):
-        tables = seats.sweep(np.full(n, fresh))
-    weight = np.array([fresh * (1 - d) * (2 - d), 3 * fresh * fresh * (1 - d), fresh**3])
-    assert np.bincount(tables, minlength=4)[1:] / n == pytest.approx(weight / weight.sum(), abs=0.02)
-
-
 def test_licenses(spark, odd):
     got = licenses.license_scan(odd).collect()
     assert [(r.doc_id, r.license, r.wording) for r in got] == [(6, "CC-BY-NC-4.0 notice", "")]

@@ -190,7 +190,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _pairs(units: int, train_tokens: float, vocabulary: float):
+def _pairs(units: int, split: int, train_tokens: float, vocabulary: float):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         """A chunk: its pairs to units; kept are its tokens as places among them, and sums by document."""
         words, n, train, ids, known, begin = _get(left["own"][0].as_py())
@@ -206,7 +206,7 @@ def _pairs(units: int, train_tokens: float, vocabulary: float):
         pair, place = np.unique(before * len(number) + words, return_inverse=True)
         count = np.bincount(place[np.repeat(train, n) == 1], minlength=len(pair)).astype("<u8")
         context, word = pair // len(number), pair % len(number)
-        parts = np.maximum(-(-total[context] // SPLIT), 1)
+        parts = np.maximum(-(-total[context] // split), 1)
         unit = ((_mixed(number[context]) + np.where(parts > 1, _mixed(number[word]) % parts.astype(np.uint64), 0)) % np.uint64(units)).astype(np.uint16 if units < 1 << 16 else np.uint64)
         order = np.argsort(unit, kind="stable")
         at = np.empty(len(order), "<u4")
@@ -220,7 +220,8 @@ def _pairs(units: int, train_tokens: float, vocabulary: float):
         doc = np.repeat(np.arange(len(n)), n)
         base = np.bincount(doc, np.log10((total + ADD) / (train_tokens + ADD * (vocabulary + 1)))[words], len(n))
         seen = np.bincount(doc, (total > 0)[words], len(n)).astype("<u8")
-        return pa.Table.from_pydict(_row(key[0].as_py(), _put(at[place], n, train, ids, known, base, seen), mail, [0]), _ROW)
+        places = np.sort((doc << 32) | at[place])  # order inside a document doesn't matter, and small gaps take less room
+        return pa.Table.from_pydict(_row(key[0].as_py(), _put(_gaps((places & 0xFFFFFFFF).astype("<u4")), n, train, ids, known, base, seen), mail, [0]), _ROW)
 
     return run
 
@@ -228,31 +229,34 @@ def _pairs(units: int, train_tokens: float, vocabulary: float):
 # ---- units of contexts -----------------------------------------------------------------------
 
 
-def _unit(key: tuple[pa.Scalar, ...], letters: pa.Table) -> pa.Table:
-    """A unit: its contexts, words and pairs with training counts; kept beside them, each chunk's pairs as places."""
-    chunks, parts = _opened(letters)
-    contexts, first, where = np.unique(np.concatenate([_ungapped(p[0]) for p in parts]), return_index=True, return_inverse=True)
-    totals = np.concatenate([p[2] for p in parts])[first]
-    context = np.repeat(where, np.concatenate([p[1] for p in parts]))
-    words, word = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
-    pair, place = np.unique(context * len(words) + word, return_inverse=True)
-    count = np.bincount(place, weights=np.concatenate([p[4] for p in parts]), minlength=len(pair)).astype("<u8")
-    context, word = pair // len(words), pair % len(words)
-    own = _put(_gaps(contexts), totals, _gaps(words), _gaps(context.astype("<u4")), word.astype("<u4"), count)
-    unit = Unit(own)
-    places = np.split(place, np.cumsum([len(p[3]) for p in parts])[:-1])
-    answers = [{"to": c, "payload": _put(_gaps(p.astype("<u4")))} for c, p in zip(chunks, places, strict=True)]
-    out = _row(key[0].as_py(), own, unit.mail((count > 0).astype(np.int64)), [(count > 0).sum(), (count == 1).sum(), (count == 2).sum()])
-    return pa.Table.from_pydict(out | {"places": [answers]}, _ROW.append(pa.field("places", _MAIL)))
+def _unit(split: int):
+    def run(key: tuple[pa.Scalar, ...], letters: pa.Table) -> pa.Table:
+        """A unit: its contexts, words and pairs with training counts; kept beside them, each chunk's pairs as places."""
+        chunks, parts = _opened(letters)
+        contexts, first, where = np.unique(np.concatenate([_ungapped(p[0]) for p in parts]), return_index=True, return_inverse=True)
+        totals = np.concatenate([p[2] for p in parts])[first]
+        context = np.repeat(where, np.concatenate([p[1] for p in parts]))
+        words, word = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+        pair, place = np.unique(context * len(words) + word, return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([p[4] for p in parts]), minlength=len(pair)).astype("<u8")
+        context, word = pair // len(words), pair % len(words)
+        own = _put(_gaps(contexts), totals, _gaps(words), _gaps(context.astype("<u4")), word.astype("<u4"), count, np.array([split], "<u8"))
+        unit = Unit(own)
+        places = np.split(place, np.cumsum([len(p[3]) for p in parts])[:-1])
+        answers = [{"to": c, "payload": _put(_gaps(p.astype("<u4")))} for c, p in zip(chunks, places, strict=True)]
+        out = _row(key[0].as_py(), own, unit.mail((count > 0).astype(np.int64)), [(count > 0).sum(), (count == 1).sum(), (count == 2).sum()])
+        return pa.Table.from_pydict(out | {"places": [answers]}, _ROW.append(pa.field("places", _MAIL)))
+
+    return run
 
 
 class Unit:
     """Pairs of a unit's contexts and words, with counts."""
 
     def __init__(self, own: bytes):
-        contexts, self.totals, words, context, self.word, count = _get(own)
+        contexts, self.totals, words, context, self.word, count, split = _get(own)
         self.contexts, self.words, self.context, self.count = _ungapped(contexts), _ungapped(words), _ungapped(context), count.astype(np.int64)
-        self.split = np.flatnonzero(self.totals > SPLIT)
+        self.split = np.flatnonzero(self.totals > split[0])
 
     def mail(self, tables: np.ndarray) -> list[tuple[int, bytes]]:
         """To each bucket: tables by word, and by context of the contexts that other units have a part of."""
@@ -433,7 +437,7 @@ SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score do
 def _scores(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
     """A chunk: its documents."""
     at, n, train, ids, known, base, seen = _get(left["own"][0].as_py())
-    logs = _joined(_opened(right)[1])[0].astype(float)
+    logs, at = _joined(_opened(right)[1])[0].astype(float), _ungapped(at)
     score = np.bincount(np.repeat(np.arange(len(n)), n), logs[at], len(n))
     return pa.table({"doc_id": pa.array(ids, mask=known == 0), "train": train == 1, "n_tokens": n.astype(np.int64), "n_known": seen.astype(np.int64), "base_score": base, "score": score})
 
@@ -446,7 +450,7 @@ def _estimated(once: float, twice: float) -> float:
     return min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
 
 
-def score_texts(docs: DataFrame, train, chain: tuple[int, int] = (BURN_IN, SAMPLES)) -> DataFrame:
+def score_texts(docs: DataFrame, train, chain: tuple[int, int] = (BURN_IN, SAMPLES), split: int = SPLIT) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     ``train`` is a condition on doc_id; the model learns from those rows alone. A text's tokens are its words
@@ -458,6 +462,7 @@ def score_texts(docs: DataFrame, train, chain: tuple[int, int] = (BURN_IN, SAMPL
 
     Discounts are n1 / (n1 + 2 n2) of the dishes with one and two customers, strengths are 1. All units use the
     totals of the sweep before; ``chain`` gives the sweeps that are not used and those that are averaged.
+    Contexts of over ``split`` training tokens are dealt over units.
     """
     rows = id_and_text(docs).withColumn("train", F.coalesce(train, F.lit(False)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -470,9 +475,9 @@ def score_texts(docs: DataFrame, train, chain: tuple[int, int] = (BURN_IN, SAMPL
     (train_tokens,) = _sums(texts, 1)
     numbered = materialize(by(_letters(texts)).applyInArrow(_number, ROW), "pitman-yor-words")
     (vocabulary,) = _sums(numbered, 1)
-    chunks = materialize(by(texts.select("key", "own")).cogroup(by(_letters(numbered))).applyInArrow(_pairs(units, train_tokens, vocabulary), ROW), "pitman-yor-chunks")
+    chunks = materialize(by(texts.select("key", "own")).cogroup(by(_letters(numbered))).applyInArrow(_pairs(units, split, train_tokens, vocabulary), ROW), "pitman-yor-chunks")
     discard(texts, numbered)
-    table = materialize(by(_letters(chunks)).applyInArrow(_unit, ROW + ", places array<struct<to: long, payload: binary>>"), "pitman-yor-units")
+    table = materialize(by(_letters(chunks)).applyInArrow(_unit(split), ROW + ", places array<struct<to: long, payload: binary>>"), "pitman-yor-units")
     customers, once, twice = _sums(table, 3)
     discount, parent_discount, parent_tables = _estimated(once, twice), 0.5, vocabulary
 
