@@ -11,6 +11,8 @@ from wavespan.operators import levels, segments
 from wavespan.sources import signal as source
 
 WINDOW, QUIET, LEAST, GAP, BASE, FACTOR, LEVELS, HOP, MARGIN = 4, 4500, 2, 40, 16, 4, 3, 4, 1
+#: Cents that are full scale.
+FULL = 50_000
 
 
 class Recording:
@@ -55,13 +57,22 @@ class Recording:
 
     @cached_property
     def skipped(self) -> DataFrame:
-        cut = self.silences.filter("NOT keep").select("rec", "start", "stop").unionByName(self.tracks.filter("dropped").select("rec", "start", "stop"))
-        return segments.merge(cut)
+        return segments.left_out(self.audible)
 
     @cached_property
     def kept(self) -> DataFrame:
         return segments.complement(self.skipped, self.ends)
 
+    @cached_property
+    def exported(self) -> DataFrame:
+        """(rec, idx, start, stop) of the exported tracks' audio."""
+        return self.audible.filter("exported").select("rec", "idx", F.col("audio_start").alias("start"), F.col("audio_stop").alias("stop"))
+
+    @cached_property
+    def sounding(self) -> tuple[DataFrame, DataFrame]:
+        """Blocks (rec, hop_idx, energy) and hops (rec, hop_idx, peak) of full scale 1."""
+        return self.blocks.select("rec", "hop_idx", (F.col("ss") / F.col("n") / FULL**2).alias("energy")), self.hops.select("rec", "hop_idx", (F.col("peak") / FULL).alias("peak"))
+
     @cached_property
     def hops(self) -> DataFrame:
         return levels.hops(self.signal, HOP)

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def events_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event type is a recording; its events in time order are frames, their values integer samples."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_type").alias("rec"), (F.row_number().over(order) - 1).cast("long").alias("frame"), F.round(F.col("value") * 100).cast("long").alias("cents")
-    )
+    """Each event type is a recording; its events in time order are frames, their values integer samples.
+
+    Frames are numbered within hours; the hours' counts, a row for each hour of a type, give where an hour begins.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("rec"), F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    earlier = Window.partitionBy("rec").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = events.groupBy("rec", "hour").agg(F.count(F.lit(1)).alias("n")).select("rec", "hour", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    numbered = events.withColumn("own", F.row_number().over(Window.partitionBy("rec", "hour").orderBy("ts", "event_id")) - 1)
+    return numbered.join(hours, ["rec", "hour"]).select("rec", (F.col("first") + F.col("own")).cast("long").alias("frame"), "cents")
 
 
 def totals(signal: DataFrame) -> DataFrame:
