@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavespan.sources.files import shared_dir
+
+SCHEMA = "rec string, frame long, cents long"
+_STORED: dict[tuple, str] = {}
+
 
 def events_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal of the events table, imported once an application into the shared folder; it goes when the driver ends.
+
+    Queries read recordings, so they read the imported table and number no rows themselves.
+    """
+    context = spark.sparkContext
+    key = context.applicationId, *sorted(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles())
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/wavespan/signal-{uuid.uuid4().hex}"
+        numbered(spark, sf_dir).write.parquet(path)
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _STORED[key] = path
+    return spark.read.schema(SCHEMA).parquet(_STORED[key])
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event type is a recording; its events in time order are frames, their values integer samples.
 
     Frames are numbered within hours; the hours' counts, a row for each hour of a type, give where an hour begins.
