@@ -6,6 +6,10 @@ import struct
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from wavespan.sources.files import ship
 
 
 @cache
@@ -17,8 +21,8 @@ def _table() -> list[int]:
     return value.tolist()
 
 
-def crc16(data: bytes) -> int:
-    crc, table = 0, _table()
+def crc16(data: bytes, crc: int = 0) -> int:
+    table = _table()
     for b in data:
         crc = crc >> 8 ^ table[(crc ^ b) & 0xFF]
     return crc
@@ -38,3 +42,16 @@ def vorbis_comment(title: str = "", album: str = "", track: int = 0, total: int
     texts = [vendor.encode(), *[f"{k}={v}".encode() for k, v in fields.items() if v]]
     sized = [struct.pack("<I", len(t)) + t for t in texts]
     return sized[0] + struct.pack("<I", len(sized) - 1) + b"".join(sized[1:])
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(key, id3, vorbis, checksum) of rows (key, title, album, track, total): their tags as bytes, and CRC-16 of the title."""
+
+    def run(batches):
+        for batch in batches:
+            own = [{k: v if v is not None else ("" if k in ("title", "album") else 0) for k, v in r.items()} for r in batch.to_pylist()]
+            fields = [{k: r[k] for k in ("title", "album", "track", "total")} for r in own]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([id3v2(**f) for f in fields], pa.binary()), pa.array([vorbis_comment(**f) for f in fields], pa.binary()), pa.array([crc16(f["title"].encode()) for f in fields], pa.int64())], names=["key", "id3", "vorbis", "checksum"])
+
+    ship(rows.sparkSession)
+    return rows.selectExpr("cast(key as bigint) key", "title", "album", "cast(track as int) track", "cast(total as int) total").mapInArrow(run, "key long, id3 binary, vorbis binary, checksum long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from wavespan.functions import numbers
+from wavespan.functions.numbers import KBPS_1, KBPS_2
 from wavespan.sinks.tags import crc16, id3v2
 from wavespan.sources import mp3, wav
-from wavespan.sources.files import byte_slice, ship, store
+from wavespan.sources.files import Slice, byte_slice, ship, store
 
 STEP = 1 << 16
 
@@ -63,32 +65,33 @@ def wav16(row: dict, ranges: list[tuple[int, int]], gain_db: float = 0.0) -> Ite
             yield pcm16(x, gain_db)
 
 
-def _roomy(template: bytes, content: int) -> bytes:
-    """A header like the template without checksum and padding, of the least kbps whose frame holds so many bytes."""
-    for k in range(1, 15):
-        b = bytes([template[0], template[1] | 1, template[2] & 0x0D | k << 4, template[3]])
-        h = mp3.header(b)
-        if h and h.length >= 4 + h.side + content:
-            return b
-    raise ValueError("no frame is large enough")
+#: What follows the side information in a frame of tables, with its bytes: fixed by the Xing header and its extension.
+FIELDS = {"mark": 4, "which": 4, "frames": 4, "bytes": 4, "seek": 100, "quality": 4, "encoder": 9, "method": 1, "lowpass": 1, "peak": 4, "gains": 4, "flags": 1, "rate": 1, "trim": 3, "misc": 1, "volume": 1, "preset": 2, "length": 4, "audio_sum": 2, "own_sum": 2}
+ENCODER = b"wavespan1"
 
 
-def carrier_frame(template: bytes, reservoir: bytes) -> bytes:
-    """A silent frame that ends with the bytes that later frames reach back for."""
-    head = _roomy(template, len(reservoir))
-    return head + bytes(mp3.header(head).length - 4 - len(reservoir)) + reservoir
+def empty_frame(like: bytes, room: int) -> bytearray:
+    """Zeros under a header like another's, without checksum and padding: the shortest with so much room after the side information."""
+    own = mp3.header(like)
+    lengths = [own.samples * 125 * kbps // own.rate for kbps in (KBPS_1 if own.version == 1 else KBPS_2)]
+    index = bisect.bisect_left(lengths, 4 + own.side + room)
+    if index == len(lengths):
+        raise ValueError("no frame is large enough")
+    word = (int.from_bytes(like, "big") | 1 << 16) & ~0xF200 | (index + 1) << 12
+    return bytearray(word.to_bytes(4, "big").ljust(lengths[index], b"\0"))
 
 
-def info_frame(template: bytes, vbr: bool, places: list[int], audio: bytes, delay: int, padding: int) -> bytes:
-    """The frame of tables before the audio: counts, 100 places for seeking, and how much to trim at both ends."""
-    head = _roomy(template, 120 + 36)
-    size, side = mp3.header(head).length, mp3.header(head).side
-    whole = size + len(audio)
-    seek = bytes(min((size + places[min(k * len(places) // 100, len(places) - 1)]) * 256 // whole, 255) for k in range(100))
-    trim = min(delay, numbers.TRIM_MOST) << 12 | min(padding, numbers.TRIM_MOST)
-    body = head + bytes(side) + struct.pack(">4sIII", b"Xing" if vbr else b"Info", 15, len(places), whole) + seek + bytes(4)
-    body += b"LAME3.100" + bytes(12) + trim.to_bytes(3, "big") + bytes(4) + struct.pack(">IH", whole, crc16(audio))
-    return (body + struct.pack(">H", crc16(body))).ljust(size, b"\0")
+def frame_of_tables(like: bytes, vbr: bool, seek: bytes, frames: int, audio_bytes: int, audio_sum: int, trim: tuple[int, int]) -> bytes:
+    """The frame before the audio: how much there is, where its hundredths lie, and what to trim at both ends."""
+    frame = empty_frame(like, sum(FIELDS.values()))
+    whole, ends = len(frame) + audio_bytes, [min(x, numbers.TRIM_MOST) for x in trim]
+    values = {"mark": b"Xing" if vbr else b"Info", "which": 15, "frames": frames, "bytes": whole, "seek": seek, "encoder": ENCODER, "trim": ends[0] << 12 | ends[1], "length": whole, "audio_sum": audio_sum}
+    at = 4 + mp3.header(like).side
+    for name, width in FIELDS.items():
+        value = crc16(bytes(frame[:at])) if name == "own_sum" else values.get(name, 0)
+        frame[at : at + width] = value if isinstance(value, bytes) else value.to_bytes(width, "big")
+        at += width
+    return bytes(frame)
 
 
 def mp3_cuts(jobs: DataFrame, frame_rows: DataFrame) -> DataFrame:
@@ -112,22 +115,38 @@ def mp3_cuts(jobs: DataFrame, frame_rows: DataFrame) -> DataFrame:
     return met.withColumn("cut", cut).drop("plan", "_first", "_last", "_from", "_to", "reservoir", "n", "spf", "vbr")
 
 
+def carried(path: str, cut: dict, like: bytes) -> bytes:
+    """A silent frame that ends with the audio data that the cut's first frames reach back for."""
+    lead = Slice(path, cut["reservoir"], cut["from"])
+    data = b"".join(lead.read_at(main, at + h.length - main) for at, h, _, main in mp3.frames(mp3.Blocks(lead)))
+    frame = empty_frame(like, mp3.RESERVOIR)
+    frame[-mp3.RESERVOIR :] = data[-mp3.RESERVOIR :].rjust(mp3.RESERVOIR, b"\0")
+    return bytes(frame)
+
+
 def mp3_copy(path: str, cut: dict | None, tags: bytes = b"") -> Iterator[bytes]:
-    """Tags, the frame of tables, the carrier frame if there is one, and the frames' own bytes."""
+    """Tags, the frame of tables, the carrier frame if there is one, and the frames' own bytes.
+
+    The bytes are read twice, a block at a time: once for the tables before them, once to be copied.
+    """
     if not cut:
         raise ValueError("empty track")
-    audio = b"".join(byte_slice(path, cut["from"], cut["to"]))
-    places, template = [at for at, *_ in mp3.frames(mp3.Blocks(pa.BufferReader(audio)))], audio[:4]
-    if cut["carrier"]:
-        lead = b"".join(byte_slice(path, cut["reservoir"], cut["from"]))
-        stream = b""
-        for at, h, _, main in mp3.frames(mp3.Blocks(pa.BufferReader(lead))):
-            stream += lead[at + h.length - main : at + h.length]
-        carrier = carrier_frame(template, stream[-mp3.RESERVOIR :].rjust(mp3.RESERVOIR, b"\0"))
-        audio, places = carrier + audio, [0, *[p + len(carrier) for p in places]]
+    part = Slice(path, cut["from"], cut["to"])
+    like = part.read_at(4, 0)
+    lead = carried(path, cut, like) if cut["carrier"] else b""
+    places = np.fromiter((at for at, *_ in mp3.frames(mp3.Blocks(part))), np.int64) + len(lead)
+    places = np.concatenate(([0] if lead else [], places)).astype(np.int64)
+    checksum = crc16(lead)
+    for block in byte_slice(path, cut["from"], cut["to"]):
+        checksum = crc16(block, checksum)
+    size = len(lead) + part.size()
+    head = len(empty_frame(like, sum(FIELDS.values())))
+    hundredths = places[np.arange(100) * len(places) // 100]
+    seek = np.minimum((head + hundredths) * 256 // (head + size), 255).astype(np.uint8).tobytes()
     yield tags
-    yield info_frame(template, cut["vbr"], places, audio, cut["delay"], cut["padding"])
-    yield audio
+    yield frame_of_tables(like, cut["vbr"], seek, len(places), size, checksum, (cut["delay"], cut["padding"]))
+    yield lead
+    yield from byte_slice(path, cut["from"], cut["to"])
 
 
 def write(target: str, pieces: Iterator[bytes]) -> int:

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,31 @@ def byte_slice(uri: str, start: int, stop: int, step: int = 1 << 20):
     with system.open_input_file(path) as f:
         for at in range(start, min(stop, f.size()), step):
             yield f.read_at(min(step, stop - at), at)
+
+
+class Slice:
+    """Bytes [start, stop) of a file as a file of its own."""
+
+    def __init__(self, uri: str, start: int, stop: int):
+        system, path = store(uri)
+        self.file = system.open_input_file(path)
+        self.start, self.length = start, max(min(stop, self.file.size()) - start, 0)
+
+    def size(self) -> int:
+        return self.length
+
+    def read_at(self, count: int, at: int) -> bytes:
+        return self.file.read_at(max(min(count, self.length - at), 0), self.start + at)
+
+
+def slices(parts: DataFrame, step: int = 1 << 20) -> DataFrame:
+    """(path, start, at, content) of parts (path, start, stop) of files, in runs of at most ``step`` bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                for k, content in enumerate(byte_slice(row["path"], row["start"], row["stop"], step)):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["start"]], pa.int64()), pa.array([row["start"] + k * step], pa.int64()), pa.array([content], pa.binary())], names=["path", "start", "at", "content"])
+
+    ship(parts.sparkSession)
+    return parts.select("path", "start", "stop").mapInArrow(run, "path string, start long, at long, content binary")

@@ -121,6 +121,13 @@ def summary(frame_rows: DataFrame) -> DataFrame:
     return frame_rows.groupBy("path").agg(n.alias("frames"), F.sum("samples").alias("total"), F.first("rate").alias("rate"), F.min_by("channels", "frame").alias("channels"), F.min("kbps").alias("least"), F.max("kbps").alias("most"), F.floor(F.sum("kbps") / n).cast("long").alias("mean"), (F.min("kbps") != F.max("kbps")).alias("vbr"), F.max(F.col("start") + F.col("length")).alias("audio_end"))
 
 
+def packet_kbps(frame_rows: DataFrame) -> DataFrame:
+    """(path, kbps): bytes of all packets over the time they last, rounded; null where that is 0."""
+    secs = F.sum(F.col("samples") / F.col("rate"))
+    kbps = F.round(F.sum("length") * 8 / 1000.0 / secs).cast("long")
+    return frame_rows.groupBy("path").agg(F.when(kbps > 0, kbps).alias("kbps"))
+
+
 def decode_starts(frame_rows: DataFrame) -> DataFrame:
     """(path, frame, decode_from): the earliest frame that a decoder needs to give a frame as a full decode does.
 

@@ -70,10 +70,10 @@ def decode(data: bytes, form: int, bits: int, channels: int, align: int) -> np.n
     return wide.reshape(-1).view("<i8").reshape(-1, channels) / 2.0**63
 
 
-def ranges(layout_rows: DataFrame, size: int = RANGE) -> DataFrame:
+def ranges(layout_rows: DataFrame, size: int = RANGE, start: int = 0) -> DataFrame:
     """A row for each range of at most ``size`` frames, dealt evenly over the tasks."""
-    good = layout_rows.filter("error IS NULL AND frames > 0")
-    each = good.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(size).cast("long"))))
+    good = layout_rows.filter(F.col("error").isNull() & (F.col("frames") > start))
+    each = good.withColumn("first", F.explode(F.sequence(F.lit(start).cast("long"), F.col("frames") - 1, F.lit(size).cast("long"))))
     return each.withColumn("last", F.least("frames", F.col("first") + size)).repartition("path", "first")
 
 
@@ -85,8 +85,12 @@ def _chunks(row: dict, frames: int = 1 << 16):
             yield a, decode(f.read_at((b - a) * row["align"], row["data"] + a * row["align"]), row["format"], row["bits"], row["channels"], row["align"])
 
 
-def samples(layout_rows: DataFrame, size: int = RANGE) -> DataFrame:
-    """(path, frame, channel, value): the PCM of every file, read by ranges."""
+def samples(layout_rows: DataFrame, size: int = RANGE, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(path, frame, channel, value): the PCM of every file, or of its frames from ``start`` to ``stop``, read by ranges.
+
+    No other frames are read.
+    """
+    own = layout_rows.withColumn("frames", F.least("frames", F.lit(stop))) if stop is not None else layout_rows
 
     def run(batches):
         for batch in batches:
@@ -96,7 +100,7 @@ def samples(layout_rows: DataFrame, size: int = RANGE) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([row["path"]]).dictionary_encode().take(pa.array(np.zeros(n * channels, np.int32))).cast(pa.string()), pa.array(np.repeat(np.arange(a, a + n), channels)), pa.array(np.tile(np.arange(channels, dtype=np.int32), n)), pa.array(x.reshape(-1))], names=["path", "frame", "channel", "value"])
 
     ship(layout_rows.sparkSession)
-    return ranges(layout_rows, size).mapInArrow(run, "path string, frame long, channel int, value double")
+    return ranges(own, size, start).mapInArrow(run, "path string, frame long, channel int, value double")
 
 
 def _folded(x: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
