@@ -20,10 +20,9 @@ SCHEMA = "path string, hop long, weighted double, frames long, peak double"
 
 
 @cache
-def impulse(rate: int) -> np.ndarray:
-    """The answer of ITU-R BS.1770's two filters (a shelf, then a high pass) to one sample, over a second."""
-    x = np.zeros(rate)
-    x[0] = 1
+def stages(rate: int) -> tuple[tuple[float, ...], ...]:
+    """(b0, b1, b2, a1, a2) of ITU-R BS.1770's two filters, a shelf and then a high pass."""
+    out = []
     # Fixed values of BS.1770 as analog parameters: centre, gain in dB and quality of the shelf; centre and quality of the high pass.
     for centre, gain, quality in ((1681.974450955533, 3.999843853973347, 0.7071752369554196), (38.13547087602444, None, 0.5003270373238773)):
         k = np.tan(np.pi * centre / rate)
@@ -33,12 +32,21 @@ def impulse(rate: int) -> np.ndarray:
         else:
             high = 10 ** (gain / 20)
             band = high**0.4996667741545416
-            b = tuple(v / below for v in (high + band * k / quality + k * k, 2 * (k * k - high), high - band * k / quality + k * k))
-        a1, a2 = 2 * (k * k - 1) / below, (1 - k / quality + k * k) / below
+            b = tuple(float(v / below) for v in (high + band * k / quality + k * k, 2 * (k * k - high), high - band * k / quality + k * k))
+        out.append((*b, float(2 * (k * k - 1) / below), float((1 - k / quality + k * k) / below)))
+    return tuple(out)
+
+
+@cache
+def impulse(rate: int) -> np.ndarray:
+    """The answer of both filters to one sample, over a second."""
+    x = np.zeros(rate)
+    x[0] = 1
+    for b0, b1, b2, a1, a2 in stages(rate):
         y, s1, s2 = np.zeros(rate), 0.0, 0.0
         for n, v in enumerate(x.tolist()):
-            out = b[0] * v + s1
-            s1, s2 = b[1] * v - a1 * out + s2, b[2] * v - a2 * out
+            out = b0 * v + s1
+            s1, s2 = b1 * v - a1 * out + s2, b2 * v - a2 * out
             y[n] = out
         x = y
     return x

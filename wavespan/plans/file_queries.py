@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavespan.operators import commands, kweighting
-from wavespan.plans.recording import BASE, WINDOW, Recording
+from wavespan.operators import commands, kweighting, levels
+from wavespan.plans.recording import BASE, HOP, WINDOW, Recording
 from wavespan.plans.recording_queries import CTE
 from wavespan.sinks import tracks
 from wavespan.sources import files, wav
@@ -60,7 +61,7 @@ def k9_apply_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a9_weighted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kweighting.hop_energy(_written(spark, sf_dir))
-    return found.select(_rec(), "hop", F.round("energy", 9).alias("energy"), F.round("peak", 9).alias("peak"))
+    return found.select(_rec(), "hop", F.round("energy", 7).alias("energy"), F.round("peak", 7).alias("peak"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
@@ -115,8 +116,34 @@ def s18_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.changes(lines.select("path", (F.col("n_nationkey") * 10 + F.col("k")).alias("n"), "line")).select("version", "date", "heading", "item")
 
 
-_SPLITS = "SELECT rec, pos, CASE WHEN confirmed THEN 'Confirmed' ELSE 'Suggested' END AS state, idx FROM splitc"
+def st3_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of four hops that end at each hop, from hops that a stream of chunks has filled."""
+    stream, folder = _chunks(spark, sf_dir)
+    hops = streamed.run_available(streamed.windows(stream, HOP), ["rec", "win"], folder).withColumnRenamed("win", "hop_idx")
+    return levels.blocks(hops, 4)
+
+
 _WRITTEN = f"SELECT rec, frame, {SAMPLE} AS sample FROM signal"
+
+
+def weighted_sql() -> str:
+    """The two filters sample by sample as a recursion, and true peaks as sums over neighbours with written-out weights."""
+    (b0, b1, b2, a1, a2), (c0, c1, c2, d1, d2) = kweighting.stages(RATE)
+    out = f"({b0!r} * x + s1)"
+    second = f"({c0!r} * {out} + u1)"
+    step = f"{b1!r} * x - {a1!r} * {out} + s2, {b2!r} * x - {a2!r} * {out}, {c1!r} * {out} - {d1!r} * {second} + u2, {c2!r} * {out} - {d2!r} * {second}, {second}"
+    weights = [(phase, 5 - m, 0.0 if (t := m - 6 + phase / 4) == 0 else math.sin(math.pi * t) / (math.pi * t) * (0.5 + 0.5 * math.cos(math.pi * t / 6))) for phase in (1, 2, 3) for m in range(12)]
+    hop = RATE // 10
+    return f""", x AS MATERIALIZED (SELECT rec, frame, sample / 32768e0 AS x FROM ({_WRITTEN})),
+    y AS (SELECT rec, -1::BIGINT AS frame, 0e0 AS s1, 0e0 AS s2, 0e0 AS u1, 0e0 AS u2, 0e0 AS y FROM ends UNION ALL SELECT rec, frame + 1, {step} FROM (SELECT y.*, x.x FROM y JOIN x ON x.rec = y.rec AND x.frame = y.frame + 1)),
+    part AS (SELECT rec, frame // {hop} AS hop, sum(y * y) AS e FROM y WHERE frame >= 0 GROUP BY ALL),
+    weight(phase, ahead, w) AS (VALUES {", ".join(f"({p}, {a}, {w!r}::DOUBLE)" for p, a, w in weights)}),
+    between_ AS (SELECT a.rec, a.frame, phase, abs(sum(w * b.x)) AS v FROM x a CROSS JOIN weight JOIN x b ON b.rec = a.rec AND b.frame = a.frame + ahead GROUP BY ALL),
+    peak AS (SELECT rec, frame // {hop} AS hop, max(v) AS peak FROM (SELECT rec, frame, v FROM between_ UNION ALL SELECT rec, frame, abs(x) FROM x) GROUP BY ALL)
+    SELECT rec, hop, round((SELECT sum(b.e) FROM part b WHERE b.rec = a.rec AND b.hop BETWEEN a.hop - 3 AND a.hop) / {4 * hop}, 7) AS energy, round(peak, 7) AS peak FROM part a JOIN peak USING (rec, hop)"""
+
+
+_SPLITS = "SELECT rec, pos, CASE WHEN confirmed THEN 'Confirmed' ELSE 'Suggested' END AS state, idx FROM splitc"
 REGISTRY = {
     f.__name__: (f, sql and CTE + sql)
     for f, sql in (
@@ -124,7 +151,8 @@ REGISTRY = {
         (s3_wav_samples, _WRITTEN),
         (s13_scan, f", w AS ({_WRITTEN}) SELECT rec, 'peak' AS kind, frame // 256 AS idx, CAST(trunc(min(sample / 32768e0) * 32767) AS BIGINT) AS lo, CAST(trunc(max(sample / 32768e0) * 32767) AS BIGINT) AS hi, CAST(NULL AS DOUBLE) AS power, CAST(NULL AS BIGINT) AS n FROM w GROUP BY ALL UNION ALL SELECT rec, 'level', frame // 400, NULL, NULL, round(avg((sample / 32768e0) ** 2), 9), count(*) FROM w GROUP BY rec, frame // 400"),
         (k9_apply_cuts, f", w AS ({_WRITTEN}) SELECT rec, CASE WHEN frame < 60 THEN frame - 10 ELSE frame - 50 END AS frame, sample FROM w WHERE frame BETWEEN 10 AND 59 OR frame BETWEEN 100 AND 104"),
-        (a9_weighted_blocks, None),
+        (a9_weighted_blocks, weighted_sql()),
+        (st3_sliding_windows, "SELECT rec, hop_idx, CAST(ss AS BIGINT) AS ss, CAST(n AS BIGINT) AS n FROM blocks"),
         (st1_streamed_peaks, f"SELECT rec, frame // {BASE} AS bucket, min(cents) AS lo, max(cents) AS hi FROM signal GROUP BY ALL"),
         (st2_streamed_windows, "SELECT rec, win, ss, n FROM win"),
         (e2_remove_move, f"SELECT rec, CASE WHEN idx = 0 THEN 3 ELSE pos END AS pos, state FROM ({_SPLITS}) WHERE idx <> 1"),
