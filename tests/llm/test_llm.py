@@ -111,7 +111,7 @@ def slow_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(prints):
+def slow_components(prints, radius=4):
     root = {i: i for i in prints}
 
     def top(x):
@@ -121,7 +121,7 @@ def slow_components(prints):
 
     for a in prints:
         for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 4:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= radius:
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
     return {i: top(i) for i in prints}
@@ -146,12 +146,36 @@ def test_links_of_long_runs_lose_none(spark):
     want = slow_components({v & (1 << 64) - 1: v & (1 << 64) - 1 for v in values})
     for pairwise in (8, 1024):
         rows = simhash.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 4, pairwise)).collect()
-        root = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in rows}
-        groups, wanted = {}, {}
-        for v in want:
-            groups.setdefault(root.get(v, v), set()).add(v)
-            wanted.setdefault(want[v], set()).add(v)
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+        assert same_groups({r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in rows}, want)
+
+
+@pytest.mark.parametrize("radius", [1, 3])
+def test_links_of_odd_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = int(rng.integers(0, 1 << 62))
+    values = sorted({base ^ sum(1 << int(k) for k in rng.choice(20, rng.integers(0, 9), replace=False)) for _ in range(150)})
+    want = slow_components({v: v for v in values}, radius)
+    rows = simhash.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), radius, 6)).collect()
+    assert same_groups({r.node: r.root for r in rows}, want)
+
+
+def same_groups(root, want):
+    groups, wanted = {}, {}
+    for v in want:
+        groups.setdefault(root.get(v, v), set()).add(v)
+        wanted.setdefault(want[v], set()).add(v)
+    return sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_one_row_of_each_group_stays(spark, odd):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a b c d e f", "x"), (1, long, "y"), (2, long, "z"), (3, None, "n"), (4, "", "e"), (None, "a lonely text of no id", "l"), (None, long, "c"), (5, "tail end of it all", "t"), (5, "tail end of it all", "u"), (6, "TAIL end of it all", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string").withColumn("kept_id", F.lit(1)).withColumn("fp", F.lit("f"))
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, "a b c d e f"), (1, long), (3, ""), (0, "a lonely text of no id"), (5, "tail end of it all")])
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+    assert simhash.drop_near_duplicates(odd).count() == simhash.near_duplicates(odd).select("component_id").distinct().count()
 
 
 def test_masks_cover_every_difference():

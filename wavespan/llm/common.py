@@ -39,10 +39,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): other columns, also of clashing names, are dropped; a null text counts as empty."""
+def id_and_text(docs: DataFrame, *more) -> DataFrame:
+    """(doc_id, text) and ``more``: other columns, also of clashing names, are dropped; a null text counts as empty."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def id_remainder(modulus: int):
@@ -133,18 +133,28 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
+def least_hashes(rows: DataFrame, key, most: int) -> DataFrame:
+    """The ``most`` rows of the least 64-bit hash ``key``, or all if there are no more.
+
+    A cut-off that follows from the rows' number leaves few more than ``most`` before any task sorts, so that tasks
+    send about as many rows in all, not as many each.
+    """
+    count = rows.count()
+    share = min((most + 6 * most**0.5 + 10) / max(count, 1), 1.0)
+    cut = rows if share >= 1 else rows.filter(key <= F.lit(int(-(2**63) + share * 2**64)))
+    return cut.orderBy(key, *rows.columns).limit(most)
+
+
 def labelled_sample(docs: DataFrame, label_table: DataFrame, column: str, train, rows: int) -> DataFrame:
     """(doc_id, text, label) of at most ``rows`` labelled documents that ``train`` admits, by a hash of doc_id.
 
     Null labels are left out; where a doc_id has several, the largest counts. The drawn ids are
     broadcast: ``rows`` bounds them.
     """
-    drawn = (
+    known = (
         label_table.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
         .filter(train)
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col(column)).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
-    return id_and_text(docs).join(F.broadcast(drawn), "doc_id")
+    return id_and_text(docs).join(F.broadcast(least_hashes(known, F.xxhash64("doc_id"), rows)), "doc_id")

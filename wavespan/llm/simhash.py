@@ -8,11 +8,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavespan.llm.common import id_and_text, id_text_steps, materialize, words
+from wavespan.llm.common import arrow_steps, discard, id_and_text, materialize, strings, words
 
 BITS, SEED = 64, 42
-#: A run of fingerprints that agree on a mask is compared pair by pair up to this size; larger runs are linked
-#: through the values within half the radius of each fingerprint, which takes work in proportion to the run.
+#: A run of fingerprints that agree on a mask is compared pair by pair up to this size; a larger one is split by
+#: further masks of the bits that the mask leaves.
 PAIRWISE = 1024
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -36,26 +36,36 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long) for every row; a text without words, also a null one, has fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 4, carry=None) -> DataFrame:
+    """(doc_id, fp long) for every row; a text without words, also a null one, has fingerprint zero.
+
+    ``carry`` is a column of docs that comes along as ``key``.
+    """
 
     def run(batches):
-        for ids, texts in id_text_steps(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(t, width) for t in texts], pa.int64())], names=["doc_id", "fp"])
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in arrow_steps(texts):
+                prints = pa.array([fingerprint(t, width) for t in strings(texts, a, b)], pa.int64())
+                more = [batch.column(k).slice(a, b - a) for k in batch.schema.names if k != "text"]
+                yield pa.RecordBatch.from_arrays([prints, *more], names=["fp", *[k for k in batch.schema.names if k != "text"]])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs, *([] if carry is None else [carry.alias("key")]))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
+    return rows.mapInArrow(run, ", ".join(["fp long", *kinds])).select("doc_id", "fp", *([] if carry is None else ["key"]))
 
 
-def covering_masks(radius: int) -> list[int]:
-    """2^(radius+1) - 1 masks of 64 bits; values within the radius agree on all bits of at least one mask.
+def covering_masks(radius: int, bits: tuple[int, ...] = tuple(range(BITS))) -> list[int]:
+    """2^(radius+1) - 1 masks of some bits; values within the radius on these agree on all bits of at least one mask.
 
     Each bit position has a vector of radius+1 bits, and a mask holds the positions whose vector has an odd
     product with the mask's own nonzero vector. The vectors of at most ``radius`` differing positions leave
     room for one nonzero vector with even products to all of them: its mask has none of these positions.
     """
     size = 1 << (radius + 1)
-    vectors = [1 + k % (size - 1) for k in np.random.default_rng(SEED).permutation(BITS)]
-    masks = [sum(1 << bit for bit, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, size)]
+    order = sorted(range(1, size), key=lambda v: (v.bit_count() > 1, v))  # unit vectors first: no mask is empty over radius+1 positions
+    vectors = {bits[k]: order[n % (size - 1)] for n, k in enumerate(np.random.default_rng(SEED).permutation(len(bits)).tolist())}
+    masks = [sum(1 << bit for bit, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, size)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -74,99 +84,98 @@ def _linked(run: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _runs(batches, radius: int, pairwise: int):
-    """Links within runs of equal (mask, part) in sorted rows; the rows of too long a run come back as ``large``."""
+    """Links within runs of equal (mask, part) in sorted rows; the rows (value, mask) of longer runs come back as ``large``.
+
+    Where a mask leaves at most ``radius`` bits, its run's values all are linked, each with the one before.
+    """
     held, held_key, large = [], None, False
     # held: values of the last run so far; large: it has already been handed on
 
     def out(a, b, kind):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([kind] * len(a), pa.bool_())], names=["a", "b", "large"])
 
+    def whole(run, mask):
+        run = np.unique(run)
+        if BITS - (int(mask) & (1 << 64) - 1).bit_count() <= radius:
+            return list(zip(run[1:].tolist(), run[:-1].tolist(), strict=True))
+        return _linked(run, radius) if len(run) > 1 else []
+
     for batch in batches:
         mask, part, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("mask", "part", "fp"))
         if not len(fp):
             continue
         cut = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
         bounds = np.concatenate(([0], cut, [len(fp)]))
-        links, rest = [], []
+        links, rest, rest_of = [], [], []
         sizes = np.diff(bounds)
         for k in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
             a, b = bounds[k], bounds[k + 1]
-            key, values = (mask[a], part[a]), fp[a:b]
+            key, values = (mask[a], part[a]), np.unique(fp[a:b])
             if key != held_key:
                 if len(held) > 1:
-                    links += _linked(np.array(held), radius)
+                    links += whole(np.array(held), held_key[0])
                 held, held_key, large = [], key, False
             if large or len(held) + len(values) > pairwise:
                 rest += [*held, *values.tolist()]
+                rest_of += [int(mask[a])] * (len(held) + len(values))
                 held, large = [], True
             elif b == len(fp):
                 held += values.tolist()
             else:
-                run = np.array([*held, *values.tolist()]) if held else values
-                if len(run) > 1:
-                    links += _linked(run, radius)
+                links += whole(np.concatenate((held, values)).astype(np.int64) if held else values, mask[a])
                 held = []
         if links:
             yield out(*zip(*links, strict=True), False)
         if rest:
-            yield out(rest, rest, True)
-    if len(held) > 1 and (links := _linked(np.array(held), radius)):
+            yield out(rest, rest_of, True)
+    if len(held) > 1 and (links := whole(np.array(held), held_key[0])):
         yield out(*zip(*links, strict=True), False)
 
 
-def _near_values(batches, radius: int):
-    """For each fingerprint all values within ``radius`` of it."""
-    deltas = [0]
-    for k in range(radius):
-        deltas = sorted({d ^ (1 << bit) for d in deltas for bit in range(BITS)} | set(deltas))
-    deltas = np.array(deltas, np.uint64).view(np.int64)
+def _split(batches, radius: int):
+    """Each value of a long run under further masks, which hold the run's mask and part of the bits that it leaves."""
+    known: dict[int, np.ndarray] = {}
     for batch in batches:
-        fp = batch.column("fp").to_numpy(zero_copy_only=False)
-        for k in range(0, len(fp), 64):
-            some = fp[k : k + 64]
-            yield pa.RecordBatch.from_arrays([pa.array((some[:, None] ^ deltas[None, :]).ravel()), pa.array(np.repeat(some, len(deltas)))], names=["near", "fp"])
-
-
-def _stars(batches):
-    """In rows sorted by near: each row's fp with the first fp of its run."""
-    last = first = None
-    for batch in batches:
-        near, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("near", "fp"))
-        if not len(fp):
-            continue
-        new = np.concatenate(([near[0] != last], near[1:] != near[:-1]))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(fp)), -1))
-        head = np.where(start >= 0, fp[start], first if first is not None else 0)
-        last, first = near[-1], head[-1]
-        if (keep := head != fp).any():
-            yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(head[keep])], names=["a", "b"])
+        masks, values = batch.column("mask").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)
+        for mask in np.unique(masks).tolist():
+            if mask not in known:
+                free = tuple(k for k in range(BITS) if not mask >> k & 1)
+                known[mask] = np.unique(np.array([m | mask for m in covering_masks(radius, free)], np.int64))
+            own = values[masks == mask]
+            for k in range(0, len(own), 1 << 14):
+                some, finer = own[k : k + (1 << 14)], known[mask]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(finer, len(some))), pa.array((some[:, None] & finer[None, :]).ravel()), pa.array(np.repeat(some, len(finer)))], names=["mask", "part", "fp"])
 
 
 def links(values: DataFrame, radius: int = 4, pairwise: int = PAIRWISE) -> DataFrame:
     """(a, b): links between distinct 64-bit values (column fp) that join all those within the radius.
 
     Values meet in the tables of covering_masks, so none is missed. Within a run the links are a forest, not
-    all pairs. Long runs are linked through shared near values: two values are within 2r of each other exactly
-    if some value is within r of both. An odd radius there takes one more, and pairs are then compared.
+    all pairs. A run of over ``pairwise`` values is split by a covering family of the bits that its mask leaves, and
+    so on: each time about half of them, so runs end, and values within the radius still meet in one of the parts.
     """
-    masks = covering_masks(radius)
-    spread = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "part"))
-    met = materialize(spread.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp").mapInArrow(lambda x: _runs(x, radius, pairwise), "a long, b long, large boolean"), "simhash-runs")
-    joined = met.filter(~F.col("large")).select("a", "b")
-    large = met.filter("large").select(F.col("a").alias("fp")).distinct()
-    if radius % 2 == 0 and not met.filter("large").isEmpty():
-        near = large.mapInArrow(lambda x: _near_values(x, radius // 2), "near long, fp long")
-        joined = joined.unionByName(near.repartition("near").sortWithinPartitions("near", "fp").mapInArrow(_stars, "a long, b long"))
-    elif not met.filter("large").isEmpty():
-        raise ValueError("runs this long need an even radius")
-    return joined.distinct()
+    spread = values.select("fp", F.explode(F.array(*[F.lit(m) for m in covering_masks(radius)])).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
+    found = []
+    while True:
+        met = materialize(spread.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp").mapInArrow(lambda x: _runs(x, radius, pairwise), "a long, b long, large boolean"), "simhash-runs")
+        found.append(met.filter(~F.col("large")).select("a", "b"))
+        long = met.filter("large").select(F.col("a").alias("fp"), F.col("b").alias("mask"))
+        if long.isEmpty():
+            break
+        spread = long.distinct().mapInArrow(lambda x: _split(x, radius), "mask long, part long, fp long")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over edges (a, b), by alternating large and small stars.
 
-    Each round moves links towards smaller nodes and is written to the shared folder; no node's neighbours are
-    gathered in one place. An empty table of edges gives an empty result.
+    Each round moves links towards smaller nodes and is written to the shared folder. A node's neighbours are folded
+    to their least before the shuffle; the joins' other side has one row for each node, so none is gathered, and a
+    node with many links is rows of a sorted run, which adaptive execution splits where they are too many for a task.
+    An empty table of edges gives an empty result.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "simhash-edges")
     digest = None
@@ -176,36 +185,65 @@ def components(edges: DataFrame) -> DataFrame:
         stars = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         down = stars.groupBy("a").agg(F.min("b").alias("m"))
         small = stars.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "simhash-edges")
+        before, now = now, materialize(small, "simhash-edges")
         seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+        discard(before)
         if seen == digest:
             break
         digest = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+#: Parts that the values of one component are dealt to where they meet what they have in common.
+SALTS = 32
+
+
+def told(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """rows (fp, root, ...) with the columns of ``common`` (root, ...), one row for each root.
+
+    A root's rows are dealt to SALTS parts, to each of which goes a copy of the root's row, so that a component of
+    very many values isn't one task's work.
+    """
+    copies = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(copies, ["root", "salt"]).drop("salt")
+
+
+def linked(values: DataFrame, radius: int = 4, pairwise: int = PAIRWISE) -> DataFrame:
+    """(fp, root) of the distinct values (column fp) that are linked with others: the least value of their component."""
+    found = components(links(values, radius, pairwise))
+    own = found.select(F.col("root").alias("fp"), "root").distinct()
+    return materialize(found.select(F.col("node").alias("fp"), "root").unionByName(own), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, pairwise: int = PAIRWISE) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over fingerprints within the radius.
 
-    Texts without words share fingerprint zero and are linked like others. A null doc_id takes part in links but
-    is never the smallest; a component of null doc_ids alone has a null component_id. Equal fingerprints are one
-    value from here on, so copies cost no pairs.
+    Texts without words share fingerprint zero and are linked like others; a text of any length is fingerprinted
+    whole. A null doc_id takes part in links but is never the smallest; a component of null doc_ids alone has a null
+    component_id. Equal fingerprints are one value from here on, so copies and repeated rows cost no pairs. An empty
+    table gives an empty result.
     """
     prints = materialize(fingerprints(docs, width), "simhash-prints")
     values = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
-    roots = components(links(values.select("fp"), radius, pairwise))
-    rooted = values.join(roots, values.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    met = linked(values.select("fp"), radius, pairwise).join(values, "fp")
+    least = told(met, met.groupBy("root").agg(F.min("first").alias("least"))).select("fp", "least", F.lit(True).alias("met"))
+    found = values.join(least, "fp", "left").select("fp", F.when(F.col("met"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows that repeat a doc_id, one stays.
+    """One row of each component, with docs' columns: that of the smallest doc_id.
 
-    Rows with a null doc_id can't be told apart by it; they stay.
+    Of rows of that doc_id the one with the least hash of its text stays, and of equal rows one; rows that share a
+    doc_id but not a component are different documents and both stay. A row with a null doc_id stays where its
+    component has no other. A null text counts as empty. An empty table stays empty. Columns may have any names.
     """
-    found = near_duplicates(docs, radius)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    free = (f"{name}{k or ''}" for k in range(len(docs.columns) + 1) for name in ("own",))
+    own = next(n for n in free if n.lower() not in {c.lower() for c in docs.columns})
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"), F.xxhash64(F.reverse(text), F.length(text)).alias("other"))
+    prints = materialize(fingerprints(docs, carry=key), "simhash-prints")
+    values = materialize(prints.groupBy("fp").agg(F.min("key").alias("key")), "simhash-values")
+    found = values.join(linked(values.select("fp"), radius), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("key").alias(own))
+    kept = found.select(own)
+    return docs.withColumn(own, key).join(kept, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
