@@ -212,10 +212,36 @@ def test_factors_learn_an_interaction():
         rows.append(np.array([x for x, on in ((10, a), (20, b), (30 + k % 5, 1)) if on]))
         label.append(a & b)
     machine = toxicity.train_machine(rows, np.array(label))
-    on = lambda *own: machine.margin(np.isin(machine.terms, own).astype(float)[None])[0]
+    place = {t: k for k, t in enumerate(machine.terms.tolist())}
+
+    def on(*own):  # the explicit sum over pairs
+        k = [place[t] for t in own if t in place]
+        return machine.bias + sum(machine.weights[i] for i in k) + sum(float(machine.factors[i] @ machine.factors[j]) for i in k for j in k if i < j)
+
     assert on(10, 20) > 0 > max(on(10), on(20))
 
 
+def test_machine_scores_are_the_sum_over_all_pairs():
+    rng = np.random.default_rng(2)
+    text = "Some words, some Terms and beginnings of terms"
+    own = sorted(toxicity.terms(text))
+    machine = toxicity.FactorizationMachine(np.array(own), 0.3, rng.normal(0, 0.2, len(own)), rng.normal(0, 0.2, (len(own), 4)))
+    z = 0.3 + machine.weights.sum() + sum(machine.factors[i] @ machine.factors[j] for i in range(len(own)) for j in range(i))
+    assert machine.score(text) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_quality_is_the_mean_of_all_subword_vectors():
+    rng = np.random.default_rng(3)
+    model = subwords.SubwordModel(rng.normal(0, 1, (subwords.BUCKETS, 4)), rng.normal(0, 1, (4, 2)), np.array([0.1, -0.2]))
+    texts = ["a bc bc bc d", "", "bc", "x  y\nx"]
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        words = text.split()
+        words += [subwords.AGAIN for a, b in zip(words, words[1:], strict=False) if a == b]
+        buckets = [int(b) for w in words for b in subwords.subwords([w])[0]]
+        z = (model.vectors[buckets].mean(axis=0) if buckets else np.zeros(4)) @ model.output + model.bias
+        assert got == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), rel=1e-5)
+
+
 def test_piece_digests_of_odd_rows(spark, odd):
     model = tokens.piece_model(tokens.tokenizer_path("piece_bpe_32k.model")).model
     got = tokens.piece_codec(odd, tokens.tokenizer_path("piece_bpe_32k.model")).toPandas()

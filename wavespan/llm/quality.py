@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from wavespan.llm.common import id_and_text, labelled_sample, steps
+from wavespan.llm.common import arrow_steps, id_and_text, labelled_sample, strings
 
 BUCKETS, DIMENSIONS = 1 << 16, 8
 GRAMS = (2, 3, 4)
@@ -52,10 +52,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-    """All texts' words, letter case kept, and where each text's words begin.
-
-    A word that is equal to the one before it is the marked word ``\\x01``: repetition is a word of its own.
-    """
+    """All texts' words, letter case kept, and where each text's words begin."""
     split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
     flat, at = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
     full = pc.not_equal(flat, "")
@@ -65,16 +62,20 @@ def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return flat, at
 
 
+#: A word of its own beside each word that is equal to the one before it, whose vectors count too.
+AGAIN = "\x01"
+
+
 def coded_words(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(number of each word, the distinct words, where each text's words begin); the last word marks repetition."""
+    """(number of each word, the distinct words, where each text's words begin), with AGAIN after repeated words."""
     flat, at = words_of(texts)
     coded = flat.dictionary_encode()
-    number, distinct = coded.indices.to_numpy(zero_copy_only=False).copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    number, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     same = np.zeros(len(number), bool)
     same[1:] = number[1:] == number[:-1]
     same[at[:-1][at[:-1] < len(number)]] = False
-    number[same] = len(distinct)
-    return number, [*distinct, "\x01"], at
+    again = np.flatnonzero(same)
+    return np.insert(number, again + 1, len(distinct)), [*distinct, AGAIN], at + np.searchsorted(again, at)
 
 
 @dataclass
@@ -164,15 +165,16 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> S
 def quality(docs: DataFrame, labels: DataFrame, train) -> DataFrame:
     """(doc_id, score) for every row, from its whole text alone; a text without words has the score of the bias.
 
-    Equal texts have equal scores up to rounding of their words' order. Null labels are left out; without labels
-    of both kinds every score is their smoothed share.
+    Equal texts, also repeated rows, have equal scores up to rounding; a text of any length is scored whole. Null
+    labels are left out; without labels of both kinds every score is their smoothed share. An empty table gives an
+    empty result.
     """
     model = fit(docs, labels, train)
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_numpy(zero_copy_only=False).tolist()
-            for a, b in steps(texts, STEP_CHARS):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(model.scores(texts[a:b]))], names=["doc_id", "score"])
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for a, b in arrow_steps(texts, STEP_CHARS):
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(model.scores(strings(texts, a, b)))], names=["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")

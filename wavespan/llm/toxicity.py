@@ -7,17 +7,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from wavespan.llm.common import id_and_text, id_text_steps, labelled_sample, ship, steps
+from wavespan.llm.common import arrow_steps, id_and_text, id_text_steps, labelled_sample, ship, strings
 
 BUCKETS = 1 << 20
 #: Besides itself a term counts as its beginnings of so many characters, which its inflections share.
 BEGINNINGS = (4, 5, 6, 7)
 CACHE = 400_000
-#: Bounds of the training sample and of the terms kept from it, by their chi-square against the label.
-SAMPLE_ROWS, TERMS, FACTORS = 6000, 512, 8
-EPOCHS, BATCH, RATE, DECAY = 60, 256, 0.05, 3e-4
+#: Bound of the training sample.
+SAMPLE_ROWS, FACTORS = 6000, 8
+#: Training: passes, rows of a step, the weights' rate and their L1 and L2 penalties, the factors' rate and penalty.
+EPOCHS, BATCH = 20, 32
+RATE, SPARSE, RIDGE = 0.2, 8.0, 0.1
+FACTOR_RATE, FACTOR_DECAY = 0.05, 0.01
 #: A missed positive costs so many times a false one.
 POSITIVE = 2.5
 THRESHOLD = 0.3
@@ -56,11 +60,6 @@ class FactorizationMachine:
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def margin(self, rows: np.ndarray) -> np.ndarray:
-        """Of rows of 0 and 1 by term."""
-        total = rows @ self.factors
-        return self.bias + rows @ self.weights + 0.5 * (total**2 - rows @ self.factors**2).sum(axis=1)
-
     def score(self, text: str) -> float:
         words, known, place = words_of(text), self.known, self.place
         if new := words.difference(known):
@@ -75,50 +74,48 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def chi_square(found: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Of each bucket's presence against the label; buckets of fewer than 3 rows count as 0."""
-    n, positive = len(label), label.sum()
-    with_term = np.bincount(np.concatenate(found) if found else [], minlength=BUCKETS).astype(float)
-    with_both = np.bincount(np.concatenate([f for f, y in zip(found, label, strict=True) if y] or [[]]).astype(int), minlength=BUCKETS)
-    expected = with_term * positive / max(n, 1)
-    scale = expected * (1 - positive / max(n, 1)) * (1 - with_term / max(n, 1))
-    return np.where((with_term >= 3) & (scale > 0), (with_both - expected) ** 2 / np.where(scale > 0, scale, 1), 0)
-
-
 def train_machine(found: list[np.ndarray], label: np.ndarray) -> FactorizationMachine:
-    """Adam on minibatches with weight decay; without rows of both labels, the smoothed share of label 1."""
+    """Learns from rows of distinct buckets: weights by FTRL-proximal steps, factors by AdaGrad steps.
+
+    Every bucket of the sample takes part. The L1 penalty leaves most weights at zero; a bucket's factors are
+    learned while its weight isn't, as in adaptive factorization machines. What stays at zero is not stored. Without
+    rows of both labels the machine says the smoothed share of label 1.
+    """
     label = np.asarray(label, float)
-    rank = chi_square(found, label)
-    kept = np.sort(np.argsort(-rank, kind="stable")[:TERMS])
-    kept = kept[rank[kept] > 0]
-    rng = np.random.default_rng(1)
     share = (label.sum() + 0.5) / (len(label) + 20)
-    bias, weights, factors = float(np.log(share / (1 - share))), np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS))
-    if len(kept) and 0 < label.sum() < len(label):
-        place = np.full(BUCKETS, -1)
-        place[kept] = np.arange(len(kept))
-        x = np.zeros((len(found), len(kept)), np.float32)
-        for k, f in enumerate(found):
-            at = place[f]
-            x[k, at[at >= 0]] = 1
-        values = [np.array([bias]), weights, factors]
-        first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
-            order = rng.permutation(len(label))
+    bias, seen = float(np.log(share / (1 - share))), np.unique(np.concatenate([*found, []])).astype(int)
+    rng = np.random.default_rng(1)
+    weights, factors = np.zeros(len(seen)), rng.normal(0, 0.02, (len(seen), FACTORS))
+    if 0 < label.sum() < len(label):
+        rows = [np.searchsorted(seen, f) for f in found]
+        lean, steep, steep_factors, steep_bias = np.zeros(len(seen)), np.zeros(len(seen)), np.ones_like(factors), 1.0
+        by = lambda at, values, n: np.stack([np.bincount(at, values[:, k], n) for k in range(FACTORS)], axis=1)
+        for _ in range(EPOCHS):
+            order = rng.permutation(len(rows))
             for k in range(0, len(order), BATCH):
                 some = order[k : k + BATCH]
-                rows, total = x[some], x[some] @ values[2]
-                z = values[0] + rows @ values[1] + 0.5 * (total**2 - rows @ values[2] ** 2).sum(axis=1)
-                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[some]) * np.where(label[some] > 0, POSITIVE, 1) / len(some)
-                slopes = [np.array([error.sum()]), rows.T @ error + DECAY * values[1], rows.T @ (error[:, None] * total) - (rows.T @ error)[:, None] * values[2] + DECAY * values[2]]
-                step += 1
-                for v, g, m, s in zip(values, slopes, first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    s += 0.01 * (g * g - s)
-                    v -= rate * m / (1 - 0.9**step) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-        bias, weights, factors = float(values[0][0]), values[1], values[2]
-    return FactorizationMachine(kept, bias, weights, factors)
+                n, term = len(some), np.concatenate([rows[i] for i in some])
+                row = np.repeat(np.arange(n), [len(rows[i]) for i in some])
+                live = weights[term] != 0
+                term_live, row_live = term[live], row[live]
+                own = factors[term_live]
+                total = by(row_live, own, n)
+                z = bias + np.bincount(row, weights[term], n) + 0.5 * ((total**2).sum(axis=1) - np.bincount(row_live, (own**2).sum(axis=1), n))
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[some]) * np.where(label[some] > 0, POSITIVE, 1)
+                at, place = np.unique(term, return_inverse=True)
+                slope = np.bincount(place, error[row], len(at))
+                lean[at] += slope - (np.sqrt(steep[at] + slope**2) - np.sqrt(steep[at])) / RATE * weights[at]
+                steep[at] += slope**2
+                weights[at] = np.where(np.abs(lean[at]) <= SPARSE, 0.0, (np.sign(lean[at]) * SPARSE - lean[at]) / ((1 + np.sqrt(steep[at])) / RATE + RIDGE))
+                if len(term_live):
+                    at, place = np.unique(term_live, return_inverse=True)
+                    slope = by(place, error[row_live, None] * (total[row_live] - own), len(at)) + FACTOR_DECAY * factors[at]
+                    steep_factors[at] += slope**2
+                    factors[at] -= FACTOR_RATE * slope / np.sqrt(steep_factors[at])
+                steep_bias += error.sum() ** 2
+                bias -= 0.1 * error.sum() / np.sqrt(steep_bias)
+    kept = weights != 0
+    return FactorizationMachine(seen[kept], float(bias), weights[kept], factors[kept])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> FactorizationMachine:
@@ -126,8 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> F
 
     def found(batches):
         for batch in batches:
-            got = [np.array(sorted(terms(t)), "<u4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(got, pa.binary())], names=["label", "terms"])
+            texts = batch.column("text")
+            for a, b in arrow_steps(texts):
+                got = [np.array(sorted(terms(t)), "<u4").tobytes() for t in strings(texts, a, b)]
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array(got, pa.binary())], names=["label", "terms"])
 
     sample = labelled_sample(docs, labels, "toxic", train, rows).select("label", "text").mapInArrow(found, "label int, terms binary").collect()
     sample.sort(key=lambda r: (bytes(r[1]), r[0]))  # the same model however the rows arrive
@@ -137,8 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = SAMPLE_ROWS) -> F
 def toxicity(docs: DataFrame, labels: DataFrame, train) -> DataFrame:
     """(doc_id, score) for every row, from its whole text alone. A null or empty text has the score of no terms.
 
-    Equal texts have equal scores. Labels that are null or have no document are left out; without labels of both
-    kinds every score is the smoothed share of label 1.
+    Equal texts, also repeated rows, have equal scores; a text of any length is scored whole. Labels that are null or
+    have no document are left out; without labels of both kinds every score is the smoothed share of label 1. An
+    empty table gives an empty result.
     """
     machine = fit(docs, labels, train)
 
@@ -157,9 +157,9 @@ def keep(docs: DataFrame, verdicts) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_numpy(zero_copy_only=False).tolist()]
-            for a, b in steps(texts):
-                yield batch.slice(a, b - a).filter(pa.array(verdicts(texts[a:b]), pa.bool_()))
+            texts = pc.fill_null(batch.column("text"), "")
+            for a, b in arrow_steps(texts):
+                yield batch.slice(a, b - a).filter(pa.array(verdicts(strings(texts, a, b)), pa.bool_()))
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
