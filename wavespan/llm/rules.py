@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavespan.llm.common import id_and_text, id_text_steps, materialize
+from wavespan.llm.common import id_and_text, id_text_steps, least_hashes, materialize
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-#: The forest: trees, rows that each tree splits (the method's subsample), rows it draws them from.
-TREES, SUBSAMPLE, POOL = 100, 256, 8192
+#: The forest: trees, and rows that each tree splits (the method's subsample), other rows for each tree if there are enough.
+TREES, SUBSAMPLE = 100, 256
+#: Bound of the labelled rows that choose the forest's ratios, and trees of the forests that are compared for it.
+LABELLED, TRIAL_TREES = 4000, 20
 #: The threshold where labels don't give one.
 UNLABELLED = 0.7
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -124,14 +126,19 @@ class IsolationForest:
 
 
 def grow(pool: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE) -> IsolationForest:
-    """Each tree splits its rows at random values of random features that still differ, down to single rows."""
+    """Each tree splits its rows at random values of random features that still differ, down to single rows.
+
+    A pool of ``trees`` times ``subsample`` rows or more gives each tree rows of its own.
+    """
     rng = np.random.default_rng(1)
     size = min(subsample, len(pool))
     limit, nodes = int(np.ceil(np.log2(max(size, 2)))), 4 * max(size, 1)
     feature, split = np.full((trees, nodes), -1), np.zeros((trees, nodes))
     left, length = np.zeros((trees, nodes), int), np.zeros((trees, nodes))
+    dealt = rng.permutation(len(pool))
     for t in range(trees if size else 0):
-        todo, used = [(0, pool[rng.choice(len(pool), size, replace=False)], 0)], 1
+        own = dealt[t * size : (t + 1) * size] if trees * size <= len(pool) else rng.choice(len(pool), size, replace=False)
+        todo, used = [(0, pool[own], 0)], 1
         while todo:
             node, rows, depth = todo.pop()
             lo, hi = rows.min(axis=0), rows.max(axis=0)
@@ -150,40 +157,69 @@ def grow(pool: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE) -> Is
     return IsolationForest(feature[kept], split[kept], left[kept], length[kept], size)
 
 
-def best_threshold(steps: list[tuple[int, int, int]]) -> float:
-    """From (thousandth of the score, good rows, bad rows): the threshold with the least sum of the shares of good
-    rows over it and of bad rows up to it; of equal ones the highest. Both kinds are needed."""
+def best_threshold(steps: list[tuple[int, int, int]]) -> tuple[float, int]:
+    """From (thousandth of the score, good rows, bad rows): the threshold with the fewest good rows over it and bad
+    rows up to it, and how many these are; of equal ones the highest. Both kinds are needed."""
     good, bad = sum(g for _, g, _ in steps), sum(b for _, _, b in steps)
     if not good or not bad:
-        return UNLABELLED
-    least, threshold, good_over, bad_under = 2.0, UNLABELLED, good, 0
+        return UNLABELLED, 0
+    least, threshold, good_over, bad_under = good + bad, UNLABELLED, good, 0
     for step, g, b in sorted(steps):
         good_over, bad_under = good_over - g, bad_under + b
-        if (error := good_over / good + bad_under / bad) <= least:
-            least, threshold = error, step / 1000
-    return threshold
+        if good_over + bad_under <= least:
+            least, threshold = good_over + bad_under, step / 1000
+    return threshold, least
+
+
+def thousandths(score: np.ndarray, quality: np.ndarray) -> list[tuple[int, int, int]]:
+    """(thousandth, good rows, bad rows) for ``best_threshold``."""
+    step, place = np.unique(np.ceil(score * 1000).astype(int), return_inverse=True)
+    good = np.bincount(place, quality, len(step)).astype(int)
+    return list(zip(step.tolist(), good.tolist(), (np.bincount(place, minlength=len(step)) - good).tolist(), strict=True))
+
+
+def chosen(pool: np.ndarray, labelled: np.ndarray, quality: np.ndarray) -> list[int]:
+    """The ratios with which a forest tells labelled rows apart: one after another, the one that leaves fewest on the
+    wrong side of the best threshold, until none leaves fewer. Without rows of both labels all ratios."""
+    every = list(range(pool.shape[1]))
+    if not len(pool) or len(np.unique(quality)) < 2:
+        return every
+    own, least = [], min((quality == 0).sum(), (quality == 1).sum())
+    while len(own) < len(every):
+        tried = [(best_threshold(thousandths(grow(pool[:, own + [k]], TRIAL_TREES).score(labelled[:, own + [k]]), quality))[1], k) for k in every if k not in own]
+        if min(tried)[0] >= least:
+            break
+        least, best = min(tried)
+        own.append(best)
+    return own or every
 
 
 def forest_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, BASE..., base_failed, score, kept) for every row.
 
-    Rows that fail the base rules are not kept. The others are kept unless the forest's score is over the
-    threshold: that of the least balanced error, of a thousand, on the rows labelled quality 1 or 0. Where a doc_id
-    has several labels, the largest counts. Without rows of both labels the threshold is 0.7. The forest's pool is
-    drawn from the rows that pass the base rules, by a hash of doc_id; POOL bounds it. Null and empty texts fail; an empty table gives an empty result.
+    Rows that fail the base rules are not kept. The others are kept unless the forest's score is over a threshold.
+    Labels calibrate both: at most LABELLED labelled rows choose the ratios that the forest splits, and the threshold
+    is, of a thousand, the one that puts fewest of all labelled rows on the wrong side. Where a doc_id has several
+    labels, the largest counts, and each of its rows. Without rows of both labels all ratios and 0.7 count. A tree's
+    rows are drawn from all rows that pass the base rules, by a hash of doc_id. Null and empty texts fail; a text of
+    any length is measured whole; equal texts have equal verdicts; an empty table gives an empty result.
     """
     table = materialize(rule_statistics(docs).withColumn("base_failed", base_failed()), "rules-statistics")
     names = BASE + MORE
-    pool = table.filter("not base_failed").orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(POOL).select(*names).toPandas()
-    forest = grow(shapes({n: pool[n].to_numpy() for n in names}))
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    passing = table.filter("not base_failed").drop("base_failed")
+    ratios = lambda df: shapes({n: df[n].to_numpy() for n in names})
+    pool = ratios(least_hashes(passing, F.xxhash64("doc_id"), TREES * SUBSAMPLE).toPandas())
+    some = least_hashes(passing.join(known, "doc_id"), F.xxhash64("doc_id"), LABELLED).toPandas()
+    own = chosen(pool, ratios(some), some["quality"].to_numpy())
+    forest = grow(pool[:, own])
 
     def run(batches):
         for batch in batches:
             rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("doc_id", *BASE, "base_failed")], pa.array(forest.score(shapes(rows)))], names=["doc_id", *BASE, "base_failed", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("doc_id", *BASE, "base_failed")], pa.array(forest.score(shapes(rows)[:, own]))], names=["doc_id", *BASE, "base_failed", "score"])
 
     scored = table.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, score double")
-    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     steps_of = scored.filter("not base_failed").join(known, "doc_id").groupBy(F.ceil(F.col("score") * 1000).alias("step")).agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
-    threshold = best_threshold([tuple(r) for r in steps_of.collect()])
+    threshold, _ = best_threshold([tuple(r) for r in steps_of.collect()])
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") <= F.lit(threshold)))
