@@ -104,6 +104,26 @@ def test_packing(spark, texts, library, odd):
     assert packing.pack(packing.token_pieces(odd.limit(0), tokens.tokenizer_path("byte_bpe_50k.json"))).count() == 0
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(205, 1024, 600), (500, 900, 600), (300, 1500, 800)])
+def test_evolution_needs_fewer_sequences_than_best_fit(low, high, n):
+    lengths = np.random.default_rng(5).integers(low, high, n)
+    own = packing.Packer(lengths, 2048, 1)
+    best_fit = own.best_fit(own.falling(list(range(n))))
+    population = own.first()
+    for _ in range(packing.EPOCHS):
+        population = own.evolve(population)
+    assert own.least <= len(population[0]) < len(best_fit)
+    for bins in population:
+        assert sorted(i for b in bins for i in b) == list(range(n)) and max(own.fill(bins)) <= 2048
+
+
+def test_crossover_keeps_every_item_once():
+    own = packing.Packer(np.random.default_rng(1).integers(1, 2048, 300), 2048, 3)
+    a, b, *_ = own.first()
+    for child in (own.cross(a, b), own.mutate(a), own.settled(a[:50], [i for x in a[50:] for i in x])):
+        assert sorted(i for x in child for i in x) == list(range(300)) and max(own.fill(child)) <= 2048
+
+
 def slow_print(text):
     words = WORDS.findall(text.encode().lower())
     shingles = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []

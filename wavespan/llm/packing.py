@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavespan.llm.common import id_and_text, materialize, steps
+from wavespan.llm.common import arrow_steps, id_and_text, materialize, strings
 from wavespan.llm.tokens import LOOKUP_CHARS, byte_model
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Pieces that one family of islands packs. Families are dealt at random, so each has the corpus's lengths.
 FAMILY = 4096
-ISLANDS, POPULATION, EPOCHS, BIRTHS = 3, 4, 2, 6
+ISLANDS, POPULATION, EPOCHS = 3, 4, 2
+#: An epoch ends after so many births in a row that brought no better solution.
+PATIENCE = 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -33,10 +35,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
     def run(batches):
         model, end = byte_model(tokenizer), np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_numpy(zero_copy_only=False).tolist()
-            for a, b in steps(texts, LOOKUP_CHARS):
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for a, b in arrow_steps(texts, LOOKUP_CHARS):
                 rows = []
-                for doc_id, raw in zip(ids[a:b], model.ids(texts[a:b]), strict=True):
+                for doc_id, raw in zip(ids[a:b], model.ids(strings(texts, a, b)), strict=True):
                     raw += end
                     n = len(raw) // 4
                     first = n % capacity or capacity
@@ -86,13 +88,41 @@ class Packer:
         return sorted(items, key=lambda i: -self.lengths[i])
 
     def first(self) -> list[list[list[int]]]:
-        """Best fit by falling length, and by falling length with noise."""
-        n = len(self.lengths)
-        out = [self.best_fit(self.falling(list(range(n))))]
-        while len(out) < POPULATION:
-            noisy = np.array(self.lengths) * self.rng.uniform(0.8, 1.2, n)
-            out.append(self.best_fit(np.argsort(-noisy, kind="stable").tolist()))
-        return out
+        """Best fit by falling length, the same with noise of two strengths, and in any order."""
+        n, lengths = len(self.lengths), np.array(self.lengths)
+        orders = [np.argsort(-lengths * self.rng.uniform(1 - noise, 1 + noise, n), kind="stable").tolist() for noise in (0.02, 0.2)]
+        return [self.best_fit(order) for order in (self.falling(list(range(n))), *orders, self.rng.permutation(n).tolist())][:POPULATION]
+
+    def replaced(self, bins: list[list[int]], loose: list[int]) -> tuple[list[list[int]], list[int]]:
+        """Loose items change places with one or two items of a bin where that fills the bin better.
+
+        A bin takes the longest loose item that fits in place of one of its own or of two, so what is left over is
+        shorter and easier to fit. Full bins stay as they are.
+        """
+        size, capacity = self.lengths, self.capacity
+        pool = sorted((size[i], i) for i in loose)
+        out = []
+        for own in bins:
+            own, room = list(own), capacity - sum(size[i] for i in own)
+            if room and pool:
+                gone = [(size[i], (i,)) for i in own] + [(size[i] + size[j], (i, j)) for k, i in enumerate(own[:8]) for j in own[k + 1 : 8]]
+                best = None
+                for freed, items in gone:
+                    at = bisect.bisect_right(pool, (freed + room, len(size)))
+                    if at and pool[at - 1][0] > freed and (best is None or pool[at - 1][0] - freed > best[0]):
+                        best = pool[at - 1][0] - freed, items, pool[at - 1]
+                if best:
+                    pool.remove(best[2])
+                    own = [i for i in own if i not in best[1]] + [best[2][1]]
+                    for i in best[1]:
+                        bisect.insort(pool, (size[i], i))
+            out.append(own)
+        return out, [i for _, i in pool]
+
+    def settled(self, bins: list[list[int]], loose: list[int]) -> list[list[int]]:
+        """Displaced items: exchanged for shorter ones first, then put where they fit best."""
+        bins, loose = self.replaced(bins, loose)
+        return self.best_fit(self.falling(loose), bins)
 
     def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
         """b's well-filled bins go into a whole; a's bins with any of their documents are broken up."""
@@ -102,27 +132,29 @@ class Packer:
         taken = {i for x in injected for i in x}
         whole = [x for x in a if taken.isdisjoint(x)]
         loose = [i for x in a if not taken.isdisjoint(x) for i in x if i not in taken]
-        return self.best_fit(self.falling(loose), injected + whole)
+        return self.settled(injected + whole, loose)
 
     def mutate(self, bins: list[list[int]]) -> list[list[int]]:
         """Break up the emptiest bins and a few others."""
         fills = self.fill(bins)
         order = np.argsort(fills, kind="stable").tolist()
-        broken = set(order[: max(1, len(bins) // 100)]) | set(self.rng.integers(0, len(bins), max(1, len(bins) // 50)).tolist())
+        broken = set(order[: max(1, len(bins) // 50)]) | set(self.rng.integers(0, len(bins), max(1, len(bins) // 20)).tolist())
         loose = [i for k in broken for i in bins[k]]
-        self.rng.shuffle(loose)
-        return self.best_fit(loose, [b for k, b in enumerate(bins) if k not in broken])
+        return self.settled([b for k, b in enumerate(bins) if k not in broken], loose)
 
-    def evolve(self, population: list[list[list[int]]], births: int) -> list[list[list[int]]]:
-        """Best first. It ends early when a solution has as few bins as the total length allows."""
+    def evolve(self, population: list[list[list[int]]], patience: int = PATIENCE) -> list[list[list[int]]]:
+        """Best first. It ends when so many births brought nothing better, or when a solution has as few bins as the
+        total length allows. Equal solutions count once, so that the population stays mixed."""
         ranked = sorted(population, key=self.fitness, reverse=True)[:POPULATION]
-        for _ in range(births):
-            if len(ranked[0]) <= self.least or not self.lengths:
-                break
+        idle = 0
+        while idle < patience and self.lengths and len(ranked[0]) > self.least:
             a, b = self.rng.integers(0, len(ranked), 2)
             child = self.cross(ranked[min(a, b)], ranked[max(a, b)] if a != b else ranked[(a + 1) % len(ranked)])
-            child = self.mutate(child) if self.rng.random() < 0.5 else child
-            ranked = sorted([*ranked, child], key=self.fitness, reverse=True)[:POPULATION]
+            child = self.mutate(child) if self.rng.random() < 0.7 else child
+            value = self.fitness(child)
+            idle = 0 if value > self.fitness(ranked[0]) else idle + 1
+            if value not in [self.fitness(x) for x in ranked]:
+                ranked = sorted([*ranked, child], key=self.fitness, reverse=True)[:POPULATION]
         return ranked
 
 
@@ -155,8 +187,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, family: int = FAMILY) -> D
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset; offsets are gapless from 0.
 
     Full pieces are sequences of their own. The others are dealt to families of about ``family`` pieces; each
-    family has islands that evolve apart and hand their best solution to the next island after every epoch. An
-    empty table gives an empty result; repeated rows are pieces like others.
+    family has islands that evolve apart and hand their best solution to the next island after every epoch. Of bins
+    with equally little room the one opened first is taken. An empty table gives an empty result; repeated rows are
+    pieces like others, and so are the pieces of very long texts.
     """
     spark = pieces.sparkSession
     rows = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
@@ -177,13 +210,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, family: int = FAMILY) -> D
         lengths = np.frombuffer(pdf["lengths"].iloc[0], "<i4")
         own = Packer(lengths, capacity, zlib.crc32(repr(tuple(map(int, key))).encode()) + len(pdf))
         population = [_bins_of(x) for row in pdf["population"] if row is not None for x in row]
-        ranked = [_bytes_of(b, len(lengths)) for b in own.evolve(population or own.first(), BIRTHS)]
+        ranked = [_bytes_of(b, len(lengths)) for b in own.evolve(population or own.first())]
         raw = pdf["lengths"].iloc[0]
         return pd.DataFrame({"family": [key[0]] * 2, "island": [key[1], (key[1] + 1) % ISLANDS], "lengths": [raw] * 2, "population": [ranked, ranked[:1]], "elite": [False, True]})
 
     state = held.select("family", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("population"), F.lit(False).alias("elite"))
-    for _ in range(EPOCHS):
-        state = state.groupBy("family", "island").applyInPandas(epoch, ISLAND)
+    for _ in range(EPOCHS):  # the rows are few and small, so their number of partitions is said: an island is a task's work
+        state = state.repartition(families * ISLANDS, "family", "island").groupBy("family", "island").applyInPandas(epoch, ISLAND)
 
     def best(key, left, right):
         """The family's best solution, laid out; the pieces come from the right."""
