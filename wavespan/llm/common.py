@@ -66,7 +66,7 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The table goes when the driver ends, or earlier by ``discard``; the write's own shuffle files go at once.
@@ -76,7 +76,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     at, files = _files(spark, path)

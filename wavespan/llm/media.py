@@ -1,4 +1,9 @@
-"""Media columns: payloads as WAV, and audio features of them as fixed-shape tensors with time spans."""
+"""Media columns: payloads as WAV, and audio features of them as fixed-shape tensors with time spans.
+
+Spark has no tensor type, so a document's tensors are a binary column: an Arrow record batch, in Arrow's own
+serial form, whose column ``tensor`` is of the fixed-shape tensor type beside each tensor's time span. Parquet files
+in the shared folder keep both the media and the tensors.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wavespan.llm.common import id_and_text
+from wavespan.llm.common import arrow_steps, discard, id_and_text, materialize
 
 #: Samples a second as stored, and the ratio at which they are resampled.
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 3, 4
 TAPS = 16
 FRAME, HOP, MELS = 256, 128, 20
 #: Frames of a tensor; the last is filled up with the floor.
@@ -112,7 +117,7 @@ def hysteresis_spans(power: np.ndarray, begin_db: float = BEGIN_DB, end_db: floa
 
 
 def features(media: bytes) -> dict:
-    """Tensors (clips, CLIP, MELS) float32, the clips' time spans, and spans of energy, in seconds."""
+    """Tensors (clips, CLIP, MELS) in dB, the clips' time spans, and spans of energy, in seconds."""
     payload, rate = wav_payload(media)
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     mels, power = log_mel(resample(x), rate * UP / DOWN)
@@ -131,68 +136,90 @@ def features(media: bytes) -> dict:
 def store_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8, filled up with zero bytes to a positive multiple of 64, as WAV.
 
-    A null or empty text becomes 64 zero bytes with n_bytes 0. Equal texts give equal media.
+    A null or empty text becomes 64 zero bytes with n_bytes 0. Equal texts, also in repeated rows, give equal media; a
+    text of any length is one file. An empty table gives an empty result.
     """
 
     def run(batches):
         for batch in batches:
-            raw = batch.column("text").cast(pa.binary())
-            for k in range(0, batch.num_rows, 1024):
-                own = [v.as_buffer().to_pybytes() for v in raw.slice(k, 1024)]
+            texts = batch.column("text")
+            for a, b in arrow_steps(texts):
+                own = [v.as_buffer().to_pybytes() for v in texts.slice(a, b - a).cast(pa.binary())]
                 media = [wav_bytes(x + b"\0" * (max(ALIGN, -(-len(x) // ALIGN) * ALIGN) - len(x))) for x in own]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1024), pa.array(list(map(len, own)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(list(map(len, own)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-TENSORS = "array<struct<begin_s: double, end_s: double, tensor: array<float>>>"
+#: The rows of a document's tensors.
+TENSORS = pa.schema([("begin_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.fixed_shape_tensor(pa.float16(), [CLIP, MELS]))])
 SPANS = "array<struct<begin_s: double, end_s: double>>"
 
 
-def audio_features(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, clips, energy_spans): features of the stored bytes, one tensor of CLIP x MELS values
-    for each clip. ``as_tensors`` turns such a column into Arrow's fixed-shape tensor type."""
+def tensor_bytes(values: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """(clips, CLIP, MELS) values with their time spans as a serial record batch."""
+    tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(values, np.float16))
+    begin, end = zip(*spans, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(begin), pa.array(end), tensors], schema=TENSORS).serialize().to_pybytes()
 
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                some = batch.slice(k, 64)
-                found = [features(m.as_buffer().to_pybytes()) for m in some.column("media")]
-                clips = [[{"begin_s": a, "end_s": b, "tensor": t.ravel()} for (a, b), t in zip(f["clip_spans"], f["tensors"], strict=True)] for f in found]
-                spans = [[{"begin_s": a, "end_s": b} for a, b in f["energy_spans"]] for f in found]
-                span = [("begin_s", pa.float64()), ("end_s", pa.float64())]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), some.column("n_bytes"), some.column("media"), pa.array(clips, pa.list_(pa.struct([*span, ("tensor", pa.list_(pa.float32()))]))), pa.array(spans, pa.list_(pa.struct(span)))],
-                    names=["doc_id", "n_bytes", "media", "clips", "energy_spans"],
-                )
 
-    return media.mapInArrow(run, f"doc_id long, n_bytes long, media binary, clips {TENSORS}, energy_spans {SPANS}")
+def read_tensors(data: bytes) -> pa.RecordBatch:
+    """The record batch of a document's tensors; ``column("tensor").to_numpy_ndarray()`` has (clips, CLIP, MELS)."""
+    return pa.ipc.read_record_batch(data if isinstance(data, pa.Buffer) else pa.py_buffer(data), TENSORS)
 
 
-def as_tensors(values: np.ndarray) -> pa.FixedShapeTensorArray:
-    """(clips, CLIP, MELS) values as an Arrow column of fixed-shape tensors, which Parquet and IPC files keep."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(values, np.float32))
+FEATURES = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary, energy_spans {SPANS}"
+
+
+def audio_features(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, digests of payload and media, tensors, energy_spans) of stored media (doc_id, n_bytes, media).
+
+    ``tensors`` holds log-mel frames in dB, CLIP at a time, for ``read_tensors``; the last clip is filled up with the
+    floor, and its span ends with its frames. An empty table gives an empty result.
+    """
+    span = pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), span)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("media")
+            for a, b in arrow_steps(column):
+                rows = []
+                for media in column.slice(a, b - a):
+                    stored = media.as_buffer().to_pybytes()
+                    found = features(stored)
+                    payload, spans = found["payload"], [{"begin_s": x, "end_s": y} for x, y in found["energy_spans"]]
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(stored), hashlib.sha256(stored).hexdigest(), tensor_bytes(found["tensors"], found["clip_spans"]), spans))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("n_bytes").slice(a, b - a), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors", "energy_spans"])
+
+    return media.mapInArrow(run, FEATURES)
+
+
+def stored_features(docs: DataFrame) -> DataFrame:
+    """``audio_features`` of docs' media. Media are written to the shared folder and read back, and so are the tensors."""
+    media = materialize(store_media(docs), "media", compression="zstd")
+    out = materialize(audio_features(media), "media-tensors", compression="zstd")
+    discard(media)
+    return out
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """store_media and audio_features in one pass, with digests of what was stored and read back.
+    """One row for each document with digests of what was stored and read back.
 
-    ``feature`` has the number of clips, of energy spans and their seconds, and the SHA-256 of the tensors'
-    values in steps of 0.01 dB. Equal texts give equal rows but for doc_id.
+    ``feature`` has the number of clips, of energy spans and their seconds, and the SHA-256 of the stored tensors'
+    values and spans. Equal texts give equal rows but for doc_id.
     """
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for media in batch.column("media"):
-                stored = media.as_buffer().to_pybytes()
-                found = features(stored)
-                payload = found["payload"]
-                steps = np.round(found["tensors"] * 100).astype("<i4").tobytes()
-                seconds = sum(b - a for a, b in found["energy_spans"])
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(stored), hashlib.sha256(stored).hexdigest(), f"clips={len(found['tensors'])};spans={len(found['energy_spans'])};seconds={seconds:.3f};tensors={hashlib.sha256(steps).hexdigest()}"))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return store_media(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            said = []
+            for data, spans in zip(batch.column("tensors"), batch.column("energy_spans").to_pylist(), strict=True):
+                rows = read_tensors(data.as_buffer())
+                values = hashlib.sha256(rows.column("tensor").to_numpy_ndarray().tobytes())
+                values.update(np.array([rows.column(0).to_numpy(), rows.column(1).to_numpy()]).tobytes())
+                said.append(f"clips={rows.num_rows};spans={len(spans)};seconds={sum(x['end_s'] - x['begin_s'] for x in spans):.3f};tensors={values.hexdigest()}")
+            names = [n for n in batch.schema.names if n not in ("tensors", "energy_spans")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(said, pa.string())], names=[*names, "feature"])
+
+    return stored_features(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
