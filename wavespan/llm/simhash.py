@@ -194,6 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+#: A value of over 1/HOT of all rows meets its component where its rows are, the others by a shuffle.
+HOT = 1000
 #: Parts that the values of one component are dealt to where they meet what they have in common.
 SALTS = 32
 
@@ -224,11 +226,16 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, pairwise:
     table gives an empty result.
     """
     prints = materialize(fingerprints(docs, width), "simhash-prints")
-    values = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
+    values = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "simhash-values")
     met = linked(values.select("fp"), radius, pairwise).join(values, "fp")
     least = told(met, met.groupBy("root").agg(F.min("first").alias("least"))).select("fp", "least", F.lit(True).alias("met"))
-    found = values.join(least, "fp", "left").select("fp", F.when(F.col("met"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = values.join(least, "fp", "left").select("fp", "copies", F.when(F.col("met"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    found = materialize(found, "simhash-components")
+    rows = values.agg(F.sum("copies")).first()[0] or 0
+    often = F.col("copies") * HOT > F.lit(rows)
+    hot = F.broadcast(found.filter(often).drop("copies"))  # at most HOT rows
+    cold = prints.join(hot, "fp", "left_anti").join(found.filter(~often).drop("copies"), "fp")
+    return prints.join(hot, "fp").unionByName(cold).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
