@@ -482,6 +482,52 @@ def test_wrapped_licenses(name):
     assert name in {r[0] for r in licenses.scan_block(block.text)}
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under CC BY 3.0.", {"CC-BY-3.0 notice"}),
+        ("Licensed under CC BY-SA 3.0.", {"CC-BY-SA-3.0 notice"}),
+        ("Licensed under CC BY 3.7.", set()),
+        ("This text has a Creative Commons Attribution-NonCommercial 2.5 license.", {"CC-BY-NC-2.5"}),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0 notice"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", {"LGPL-2.1 notice"}),
+        (licenses.TEMPLATES["BSD-3-Clause"], {"BSD-3-Clause"}),
+        (licenses.TEMPLATES["BSD-2-Clause"], {"BSD-2-Clause"}),
+        (licenses.TEMPLATES["MPL-2.0"].replace("You can", "you may"), {"MPL-2.0"}),
+        (licenses.TEMPLATES["AGPL-3.0"].replace("modify it", "change it"), {"AGPL-3.0"}),
+        (licenses.TEMPLATES["GPL-2.0"], {"GPL-2.0"}),
+        (licenses.TEMPLATES["GPL-3.0"].replace("version 3", "version 4"), set()),
+        (licenses.TEMPLATES["Unlicense"], {"Unlicense"}),
+        ("Her license to sell public domain maps had the permission of nobody.", set()),
+    ],
+)
+def test_which_license(text, want):
+    assert {r[0] for r in licenses.scan_block(text)} == want
+
+
+def test_planted_licenses(spark):
+    """Licenses between other sentences: each is found, by its own name, and nothing elsewhere."""
+    names = sorted(licenses.TEMPLATES)
+    filler = "The warranty of the old mill had gone with the permission to grind."
+    rows = [(k, f"{filler} Some words stand here.\n\n{licenses.TEMPLATES[n]}\n\nAnd here others end it. {filler}") for k, n in enumerate(names)] + [(1000 + k, f"{filler} " * k) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in licenses.license_scan(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    assert found == {k: {n} for k, n in enumerate(names)}
+    assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+def test_licenses_of_whole_documents(spark, texts):
+    """The query's rows for notices against a search for their words."""
+    got = {(r.doc_id, r.license) for r in run(spark, "op2_license_scan").itertuples() if not r.wording}
+    want = set()
+    for doc_id, text in texts.items():
+        words = " " + " ".join(licenses.words_of(text)) + " "
+        want |= {(doc_id, n) for n, t in licenses.TEMPLATES.items() if f" {' '.join(licenses.words_of(t))} " in words}
+    assert got == want
+
+
 def test_licenses_beside_exact_ones():
     changed = licenses.TEMPLATES["MIT"].replace("free of charge", "for free")
     found = {r[0]: r[5] for r in licenses.scan_block(changed + " Licensed under CC BY 4.0.")}
