@@ -1,5 +1,6 @@
 """The text operators against brute force, exact round trips and held-out labels, and on odd rows."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -105,6 +106,59 @@ def test_packing(spark, texts, library, odd):
     assert packing.pack(packing.token_pieces(odd.limit(0), tokens.tokenizer_path("byte_bpe_50k.json"))).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab1'st.!éß中😀", min_size=1, max_size=20), st.lists(st.tuples(st.integers(0, 90), st.integers(0, 90), st.text(alphabet="a1's ", max_size=6)), max_size=4))
+def test_edited_counts_without_spaces(text, todo):
+    model = tokens.byte_model(tokens.tokenizer_path("byte_bpe_50k.json"))
+    text = text * 9
+    parts = tokens.pre_tokens(text)
+    tree = edits.TokenTree(model, parts, model.counts(parts))
+    for a, b, new in todo:
+        tree.edit(a, b, new)
+        a = min(a, len(text))
+        text = text[:a] + new + text[max(a, min(b, len(text))) :]
+        assert tree.text() == text and tree.tokens == len(model.ids([text])[0]) // 4
+
+
+def test_an_edit_encodes_what_it_touches():
+    model = tokens.byte_model(tokens.tokenizer_path("byte_bpe_50k.json"))
+    for text in ("ab12!?" * 2000, "some words and more " * 800):
+        parts = tokens.pre_tokens(text)
+        tree = edits.TokenTree(model, parts, model.counts(parts))
+        before = tree.encoded
+        tree.edit(5000, 5003, "xy")
+        assert len(parts) > 2000 and tree.encoded - before < 12 and tree.root.depth < 14
+
+
+def test_token_count_query(spark, texts, library, odd):
+    def after(text):
+        n = len(text)
+        third = n // 3
+        cut = min(40, n - third)
+        text = text[:third] + text[third + cut :]
+        middle = (n - cut) // 2
+        text = text[:middle] + " an edited passage " + text[middle:]
+        return text[: max(len(text) - 10, 0)] + "\nThe end."
+
+    got = run(spark, "op4_token_counts").set_index("doc_id")
+    for doc_id, text in texts.items():
+        assert (got["n_tokens"][doc_id], got["n_tokens_edited"][doc_id]) == (len(library(text)), len(library(after(text))))
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    assert edits.edited_token_counts(queries.edits_of(odd), path).count() == len(ODD)
+    assert edits.edited_token_counts(queries.edits_of(odd.limit(0)), path).count() == 0
+
+
+def test_piece_query(spark, texts, odd):
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    model = tokens.piece_model(path).model
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    got = run(spark, "op7_sentencepiece").set_index("doc_id")
+    for doc_id, text in texts.items():
+        ids = model.encode(text)
+        assert tuple(got.loc[doc_id, ["n_tokens", "ids_sha256", "decoded_sha256"]]) == (len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids)))
+    assert tokens.piece_digest(odd.limit(0), path).count() == 0
+
+
 @pytest.mark.parametrize(("low", "high", "n"), [(205, 1024, 600), (500, 900, 600), (300, 1500, 800)])
 def test_evolution_needs_fewer_sequences_than_best_fit(low, high, n):
     lengths = np.random.default_rng(5).integers(low, high, n)
@@ -541,6 +595,22 @@ def test_short_notice_in_a_long_block():
     assert [r[0] for r in licenses.scan_block(text)] == ["BSD notice"]
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_on_odd_rows_and_empty_tables(spark, odd, stage):
+    """Stages but the last return their input's columns and lose no row that they don't reject."""
+    import corpus_pipeline
+
+    _, run_stage = corpus_pipeline.STAGES[stage]
+    docs = odd.withColumn("kept_id", F.lit(1)).withColumn("own", F.lit(2)).withColumn("piece", F.lit(3))
+    for rows in (docs, docs.limit(0)):
+        got = run_stage(spark, rows, SF)
+        n = got.count()
+        if stage < 3:
+            assert got.columns == docs.columns and n <= rows.count()
+        else:
+            assert got.filter("piece = 0").count() == rows.count()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavespan.llm.common import ship, steps
+from wavespan.llm.common import arrow_steps, ship, strings
 from wavespan.llm.tokens import LOOKUP_CHARS, Bytes, byte_model, pre_tokens
 
 #: Pre-tokens of a leaf.
@@ -149,17 +149,18 @@ def edited_token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     ``edits`` is an array of (start, stop, replacement), in characters, applied in order, each to the text that the
     one before left. Null texts and edits count as empty; positions outside the text are cut to it; a null
-    replacement is empty. n_parts_encoded counts what the edits had encoded, context included.
+    replacement is empty. n_parts_encoded counts what the edits had encoded, context included. Repeated rows are
+    answered row by row; a text of any length is one tree; an empty table gives an empty result.
     """
 
     def run(batches):
         model = byte_model(tokenizer)
         for batch in batches:
-            ids, texts, edits = batch.column("doc_id"), batch.column("text").to_numpy(zero_copy_only=False).tolist(), batch.column("edits").to_pylist()
-            for a, b in steps(texts, LOOKUP_CHARS):
-                lists = [pre_tokens(t) for t in texts[a:b]]
+            ids, texts, edits = batch.column("doc_id"), batch.column("text"), batch.column("edits")
+            for a, b in arrow_steps(texts, LOOKUP_CHARS):
+                lists = [pre_tokens(t) for t in strings(texts, a, b)]
                 counts, at, rows = model.counts([p for own in lists for p in own]), 0, []
-                for parts, todo in zip(lists, edits[a:b], strict=True):
+                for parts, todo in zip(lists, edits.slice(a, b - a).to_pylist(), strict=True):
                     tree = TokenTree(model, parts, counts[at : at + len(parts)])
                     at += len(parts)
                     tokens = tree.tokens

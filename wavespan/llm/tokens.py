@@ -7,18 +7,20 @@ import hashlib
 import os
 import re
 import struct
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from wavespan.llm.common import id_and_text, steps
+from wavespan.llm.common import arrow_steps, id_and_text, strings
 
-#: Distinct words that a worker's table keeps; when it is full it starts anew, which costs time, not results.
-TABLE_WORDS = 300_000
-#: Characters whose words are looked up together.
+#: Distinct words that a worker's table keeps, and characters of a word that is kept: so its bytes are bounded too.
+#: When it is full it starts anew, and longer words are encoded each time, which costs time, not results.
+TABLE_WORDS, TABLE_CHARS = 300_000, 64
+#: UTF-8 bytes whose words are looked up together.
 LOOKUP_CHARS = 4_000_000
 
 
@@ -43,7 +45,7 @@ class WordTable(dict):
             values = self.many(new)
             if len(self) + len(new) > self.limit:
                 self.clear()
-            self.update(zip(new, values, strict=True))
+            self.update((w, v) for w, v in zip(new, values, strict=True) if len(w) <= TABLE_CHARS)
             for k, value in zip(late, values, strict=True):
                 out[k] = value
         return out
@@ -136,17 +138,18 @@ def piece_model(path: str) -> Pieces:
 def _codec(batches: Iterable[pa.RecordBatch], model: str, names: list[str], of: Callable[[int, bytes, str], tuple]):
     pieces = piece_model(model)
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_numpy(zero_copy_only=False).tolist()
-        for a, b in steps(texts, LOOKUP_CHARS):
-            columns = zip(*[of(*got) for got in pieces.encode_decode(texts[a:b])], strict=True)
+        ids, texts = batch.column("doc_id"), batch.column("text")
+        for a, b in arrow_steps(texts, LOOKUP_CHARS):
+            columns = zip(*[of(*got) for got in pieces.encode_decode(strings(texts, a, b))], strict=True)
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *[pa.array(c) for c in columns]], names=["doc_id", *names])
 
 
 def piece_codec(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ``ids`` as decimal numbers joined by commas.
 
-    Null and empty texts have no ids and decode to the empty text. Repeated rows are answered row by row.
-    ``model`` is a file that every executor can open.
+    Null and empty texts have no ids and decode to the empty text. Repeated rows are answered row by row, a text of
+    any length is encoded whole, and an empty table gives an empty result. ``model`` is a file that every executor can
+    open.
     """
     return id_and_text(docs).mapInArrow(lambda batches: _codec(batches, model, ["n_tokens", "ids", "decoded"], lambda n, ids, text: (n, ids.decode(), text)), "doc_id long, n_tokens long, ids string, decoded string")
 
@@ -167,9 +170,40 @@ SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 NEEDS_PARTS = f"{SPACES} | {SPACES}"
 
 
+#: Longer parts, as of text without spaces, are split at all of the tokenizer's own boundaries.
+LONG = 32
+
+
+@cache
+def _boundaries():
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN)
+
+
+def _finer(part: str) -> Iterator[str]:
+    """A part at the tokenizer's boundaries, but those beside white space, which depend on characters further on."""
+    held = ""
+    for own in _boundaries().findall(part):
+        if held and not (held[-1].isspace() or own[0].isspace()):
+            yield held
+            held = ""
+        held += own
+    if held:
+        yield held
+
+
 def pre_tokens(text: str) -> list[str]:
-    """Parts of the text whose ids, one part after the other, are the text's ids; joined they are the text."""
-    return AFTER_WORD.split(text) if text else []
+    """Parts of the text whose ids, one part after the other, are the text's ids; joined they are the text.
+
+    Each is one or a few of the tokenizer's pre-tokens; one of over LONG characters is a single one but for the
+    white space in it.
+    """
+    parts = AFTER_WORD.split(text) if text else []
+    if len(text) > LONG and max(map(len, parts)) > LONG:
+        return [x for part in parts for x in (_finer(part) if len(part) > LONG else (part,))]
+    return parts
 
 
 class Bytes:
