@@ -183,10 +183,14 @@ def _boundaries():
 
 
 def _finer(part: str) -> Iterator[str]:
-    """A part at the tokenizer's boundaries, but those beside white space, which depend on characters further on."""
+    """A part at those of the tokenizer's boundaries that the two characters beside them decide.
+
+    Others depend on characters further away: those beside white space, and those of contractions like ``'s``.
+    """
     held = ""
     for own in _boundaries().findall(part):
-        if held and not (held[-1].isspace() or own[0].isspace()):
+        a, b = held[-1:], own[0]
+        if held and not (a.isspace() or b.isspace() or a == "'" or (a.isalpha() and b.isalpha())):
             yield held
             held = ""
         held += own
