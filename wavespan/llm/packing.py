@@ -19,7 +19,8 @@ CAPACITY, SEPARATOR = 2048, 0
 #: Pieces that one family of islands packs. Families are dealt at random, so each has the corpus's lengths.
 FAMILY = 4096
 ISLANDS, POPULATION, EPOCHS = 3, 4, 2
-#: An epoch ends after so many births in a row that brought no better solution.
+#: An epoch ends after so many births in a row that brought no better solution: PATIENCE at most, and two for each bin
+#: over the bound that the total length sets, which is all that can be gained.
 PATIENCE = 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -103,8 +104,9 @@ class Packer:
         pool = sorted((size[i], i) for i in loose)
         out = []
         for own in bins:
-            own, room = list(own), capacity - sum(size[i] for i in own)
+            room = capacity - sum([size[i] for i in own])
             if room and pool:
+                own = list(own)
                 gone = [(size[i], (i,)) for i in own] + [(size[i] + size[j], (i, j)) for k, i in enumerate(own[:8]) for j in own[k + 1 : 8]]
                 best = None
                 for freed, items in gone:
@@ -143,19 +145,19 @@ class Packer:
         return self.settled([b for k, b in enumerate(bins) if k not in broken], loose)
 
     def evolve(self, population: list[list[list[int]]], patience: int = PATIENCE) -> list[list[list[int]]]:
-        """Best first. It ends when so many births brought nothing better, or when a solution has as few bins as the
+        """Best first. It ends when too many births brought nothing better, or when a solution has as few bins as the
         total length allows. Equal solutions count once, so that the population stays mixed."""
-        ranked = sorted(population, key=self.fitness, reverse=True)[:POPULATION]
+        ranked = sorted(((self.fitness(x), x) for x in population), key=lambda s: s[0], reverse=True)[:POPULATION]
         idle = 0
-        while idle < patience and self.lengths and len(ranked[0]) > self.least:
+        while self.lengths and idle < min(patience, 2 * (len(ranked[0][1]) - self.least)):
             a, b = self.rng.integers(0, len(ranked), 2)
-            child = self.cross(ranked[min(a, b)], ranked[max(a, b)] if a != b else ranked[(a + 1) % len(ranked)])
+            child = self.cross(ranked[min(a, b)][1], ranked[max(a, b) if a != b else (a + 1) % len(ranked)][1])
             child = self.mutate(child) if self.rng.random() < 0.7 else child
             value = self.fitness(child)
-            idle = 0 if value > self.fitness(ranked[0]) else idle + 1
-            if value not in [self.fitness(x) for x in ranked]:
-                ranked = sorted([*ranked, child], key=self.fitness, reverse=True)[:POPULATION]
-        return ranked
+            idle = 0 if value > ranked[0][0] else idle + 1
+            if value not in [v for v, _ in ranked]:
+                ranked = sorted([*ranked, (value, child)], key=lambda s: s[0], reverse=True)[:POPULATION]
+        return [x for _, x in ranked]
 
 
 def _bytes_of(bins: list[list[int]], n: int) -> bytes:
