@@ -217,8 +217,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, family: int = FAMILY) -> D
         return pd.DataFrame({"family": [key[0]] * 2, "island": [key[1], (key[1] + 1) % ISLANDS], "lengths": [raw] * 2, "population": [ranked, ranked[:1]], "elite": [False, True]})
 
     state = held.select("family", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("population"), F.lit(False).alias("elite"))
-    for _ in range(EPOCHS):  # the rows are few and small, so their number of partitions is said: an island is a task's work
-        state = state.repartition(families * ISLANDS, "family", "island").groupBy("family", "island").applyInPandas(epoch, ISLAND)
+    for _ in range(EPOCHS):  # the rows are few and small, so their number of partitions is said: a few islands are a task's work
+        state = state.repartition(families, "family", "island").groupBy("family", "island").applyInPandas(epoch, ISLAND)
 
     def best(key, left, right):
         """The family's best solution, laid out; the pieces come from the right."""
