@@ -55,7 +55,8 @@ def impulse(rate: int) -> np.ndarray:
 def filtered(x: np.ndarray, answer: np.ndarray) -> np.ndarray:
     """Convolution along frames, as long as the input."""
     n = 1 << int(np.ceil(np.log2(len(x) + len(answer))))
-    return np.fft.irfft(np.fft.rfft(x, n, axis=0) * np.fft.rfft(answer, n)[:, None], n, axis=0)[: len(x)]
+    own = np.ascontiguousarray(x.T)
+    return np.fft.irfft(np.fft.rfft(own, n) * np.fft.rfft(answer, n), n)[:, : len(x)].T
 
 
 @cache
@@ -67,11 +68,13 @@ def _between(factor: int) -> np.ndarray:
 
 def true_peak(x: np.ndarray, rate: int) -> np.ndarray:
     """For each frame the largest amplitude of any channel at it and between it and the next."""
-    peak, factor = np.abs(x).max(axis=1), 4 if rate < 96_000 else 2 if rate < 192_000 else 1
-    for f in _between(factor) if factor > 1 else ():
-        padded = np.pad(x, ((6, 6), (0, 0)))
-        for c in range(x.shape[1]):
-            peak = np.maximum(peak, np.abs(np.convolve(padded[:, c], f, "full")[11 : 11 + len(x)]))
+    factor, n = 4 if rate < 96_000 else 2 if rate < 192_000 else 1, len(x)
+    peak = np.zeros(n)
+    for channel in x.T:
+        own = np.pad(channel, 6)
+        np.maximum(peak, np.abs(channel), out=peak)
+        for f in _between(factor) if factor > 1 else ():
+            np.maximum(peak, np.abs(np.convolve(own, f, "full")[11 : 11 + n]), out=peak)
     return peak
 
 

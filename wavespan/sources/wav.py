@@ -60,6 +60,9 @@ def layouts(files: DataFrame) -> DataFrame:
 def decode(data: bytes, form: int, bits: int, channels: int, align: int) -> np.ndarray:
     """(frames, channels) of numbers in -1 to 1."""
     width = align // channels
+    if form != 3 and width in (2, 4):
+        own = np.frombuffer(data, f"<i{width}", len(data) // align * channels).reshape(-1, channels)
+        return own * (0.5 ** (8 * width - 1))
     raw = np.frombuffer(data[: len(data) // align * align], np.uint8).reshape(-1, channels, width)
     if form == 3:
         return raw.reshape(-1).view("<f8" if width == 8 else "<f4").reshape(-1, channels).astype(np.float64)
@@ -121,11 +124,15 @@ def scan(layout_rows: DataFrame, bucket: int = 256, window_ms: int = 50, size: i
             for row in batch.to_pylist():
                 window = max(row["rate"] * window_ms // 1000, 1)
                 for a, x in _chunks(row):
-                    q = np.trunc(np.clip(x, -1, 1) * 32767)
+                    own = x.T.copy()  # channels one after another
+                    low, high, power = own[0], own[0], own[0] * own[0]
+                    for c in own[1:]:
+                        low, high, power = np.minimum(low, c), np.maximum(high, c), power + c * c
                     number, at = _folded(x, a, bucket)
-                    yield _rows(row["path"], "peak", number, lo=np.minimum.reduceat(q.min(axis=1), at), hi=np.maximum.reduceat(q.max(axis=1), at))
+                    whole = lambda v: np.trunc(np.clip(v, -1, 1) * 32767)
+                    yield _rows(row["path"], "peak", number, lo=whole(np.minimum.reduceat(low, at)), hi=whole(np.maximum.reduceat(high, at)))
                     number, at = _folded(x, a, window)
-                    yield _rows(row["path"], "level", number, power=np.add.reduceat((x**2).mean(axis=1), at), n=np.diff(np.append(at, len(x))))
+                    yield _rows(row["path"], "level", number, power=np.add.reduceat(power, at) / len(own), n=np.diff(np.append(at, len(x))))
 
     def _rows(path, kind, number, lo=None, hi=None, power=None, n=None):
         k, none = len(number), lambda t: pa.nulls(len(number), t)
