@@ -18,7 +18,7 @@ from wavespan.functions import numbers
 from wavespan.functions.numbers import KBPS_1, KBPS_2
 from wavespan.sinks.tags import crc16, id3v2
 from wavespan.sources import mp3, wav
-from wavespan.sources.files import Slice, byte_slice, ship, store
+from wavespan.sources.files import Slice, byte_slice, ship, store, tasks
 
 STEP = 1 << 16
 
@@ -195,13 +195,13 @@ def export(jobs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(targets, pa.string()), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["target", "bytes", "error"])
 
     ship(jobs.sparkSession)
-    return jobs.repartition("target").mapInArrow(run, "target string, bytes long, error string")
+    return jobs.repartition(tasks(jobs.sparkSession), "target").mapInArrow(run, "target string, bytes long, error string")
 
 
 def write_samples(samples: DataFrame, rate: int, channels: int = 1) -> DataFrame:
     """(target, frames): samples (target, frame, channel, value) as 16-bit WAV files, streamed in order by one task for each."""
     counted = samples.join(samples.groupBy("target").agg(F.countDistinct("frame").alias("total")), "target")
-    dealt = counted.repartition("target").sortWithinPartitions("target", "frame", "channel").select("target", "total", "value")
+    dealt = counted.repartition(tasks(samples.sparkSession), "target").sortWithinPartitions("target", "frame", "channel").select("target", "total", "value")
 
     def whole(target: str, total: int, values: Iterator[np.ndarray]) -> Iterator[bytes]:
         align = 2 * channels

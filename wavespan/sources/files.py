@@ -32,6 +32,11 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(str(target))
 
 
+def tasks(spark: SparkSession) -> int:
+    """A number of partitions for rows that are small but much work, which adaptive execution would put into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or local path as Spark writes it, and the path there."""
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/(?!/)", "file:///", uri if ":" in uri else f"file://{uri}")).replace(" ", "%20"))

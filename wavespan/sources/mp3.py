@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavespan.functions.numbers import AHEAD, KBPS_1, KBPS_2, RATES
-from wavespan.sources.files import ship, store
+from wavespan.sources.files import ship, store, tasks
 
 INDEX = "path string, frame long, start long, length int, kbps int, rate int, samples int, channels int, back int, main int"
 BLOCK, BATCH = 1 << 20, 50_000
@@ -112,7 +112,7 @@ def index(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ship(files.sparkSession)
-    return files.select("path").repartition("path").mapInArrow(run, INDEX)
+    return files.select("path").repartition(tasks(files.sparkSession), "path").mapInArrow(run, INDEX)
 
 
 def summary(frame_rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavespan.sources.files import ship, store
+from wavespan.sources.files import ship, store, tasks
 
 LAYOUT = "path string, format int, channels int, rate int, bits int, align int, fmt binary, data long, frames long, error string"
 #: Frames of a task's range: a multiple of what buckets and windows of the usual rates divide.
@@ -77,7 +77,7 @@ def ranges(layout_rows: DataFrame, size: int = RANGE, start: int = 0) -> DataFra
     """A row for each range of at most ``size`` frames, dealt evenly over the tasks."""
     good = layout_rows.filter(F.col("error").isNull() & (F.col("frames") > start))
     each = good.withColumn("first", F.explode(F.sequence(F.lit(start).cast("long"), F.col("frames") - 1, F.lit(size).cast("long"))))
-    return each.withColumn("last", F.least("frames", F.col("first") + size)).repartition("path", "first")
+    return each.withColumn("last", F.least("frames", F.col("first") + size)).repartition(tasks(layout_rows.sparkSession), "path", "first")
 
 
 def _chunks(row: dict, frames: int = 1 << 16):
