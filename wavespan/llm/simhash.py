@@ -252,5 +252,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     prints = materialize(fingerprints(docs, carry=key), "simhash-prints")
     values = materialize(prints.groupBy("fp").agg(F.min("key").alias("key")), "simhash-values")
     found = values.join(linked(values.select("fp"), radius), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("key").alias(own))
-    kept = found.select(own)
-    return docs.withColumn(own, key).join(kept, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    equal = prints.groupBy(F.col("key").alias(own)).count().filter("count > 1").drop("count")
+    kept, keyed = materialize(found.select(own), "simhash-kept"), docs.withColumn(own, key)
+    # texts cross the network once and aren't sorted: a part's keys are held, and its rows go by
+    single = keyed.join(kept.join(equal, own, "left_anti").hint("shuffle_hash"), own, "left_semi")
+    repeated = materialize(kept.join(equal, own, "left_semi"), "simhash-repeated")
+    out = single if repeated.isEmpty() else single.unionByName(keyed.join(repeated.hint("shuffle_hash"), own, "left_semi").dropDuplicates([own]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
