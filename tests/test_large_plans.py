@@ -14,7 +14,7 @@ from wavespan.sources import files, wav
 
 #: A join by shuffles in as many partitions as rows are dealt to, whose smaller side adaptive execution broadcasts.
 PLAN = {"spark.sql.shuffle.partitions": "12", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-QUERIES = ["s4_wav_layout", "k8_whole_file", "s3_wav_samples", "k2_wav_range", "s13_scan", "k9_apply_cuts", "s5_pcm_range"]
+QUERIES = ["s4_wav_layout", "k8_whole_file", "s3_wav_samples", "k2_wav_range", "s13_scan", "k9_apply_cuts", "s5_pcm_range", "k7_wav16"]
 
 
 @pytest.fixture
