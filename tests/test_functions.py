@@ -28,6 +28,7 @@ CASES = [
     (lambda: T.hex_word(L(f"x {HEX.upper()}  f {HEX[:-1]}c")), HEX), (lambda: T.hex_word(L(HEX + "a")), None), (lambda: T.manifest_hash(L("11  a\n22  b \n33  b"), L("b")), "22"),
     (lambda: T.concat_filter(F.array(F.struct(L(1.0).alias("start"), L(2.5).alias("stop"))), False), "[0:v:0]split=1[sv0];[sv0]trim=start=1.000000:end=2.500000,setpts=PTS-STARTPTS[v0];[v0]concat=n=1:v=1:a=0[v]"),
     (lambda: T.utc_label(L(951_782_400)), "2000-02-29T00:00:00Z"), (lambda: T.utc_label(L(-1)), "1969-12-31T23:59:59Z"),
+    (lambda: T.utc_label(L(253_402_300_799)), "9999-12-31T23:59:59Z"), (lambda: T.utc_label(L(253_402_300_800)), "10000-01-01T00:00:00Z"), (lambda: T.utc_label(L(6_000_000 * 86_399)), "18397-04-02T13:20:00Z"),
     (lambda: T.wave_path(F.array(F.struct(L(-1.0).alias("lo"), L(1.0).alias("hi")), F.struct(L(0.0).alias("lo"), L(0.5).alias("hi")))), "M0,0.70L1,25.20L1,50.30L0,99.30Z"),
     (lambda: T.path_token(L("/x/ab.c?d")), "ab"), (lambda: T.path_token(L("ab?q=1")), "ab"), (lambda: T.media_kind(L("/x/a.MP3")), "audio"), (lambda: T.media_kind(L("a.mov")), "video"), (lambda: T.media_kind(L("mp3")), None),
     (lambda: F.round(N.loudness(N.energy(L(-14.0))), 9), -14.0), (lambda: N.decibels(L(0.0)), -200.0), (lambda: F.round(N.amplitude(L(-6.0)), 6), 0.501187), (lambda: N.normalise_gain(L(-20.0), L(-3.0), -14.0), 2.0), (lambda: N.normalise_gain(L(None).cast("double"), L(-3.0), -14.0), 0.0),
