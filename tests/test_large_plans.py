@@ -49,3 +49,12 @@ def test_query_matches_sql(large, tables, name):
     duck = duckdb.connect()
     duck.sql(f"create view events as select * from '{tables}/events.parquet'")
     assert rows(catalog.queries()[name](large, tables).toPandas()) == rows(duck.sql(catalog.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("name", ["f29_utc_label", "k3_cut_plan", "p12_chips"])
+def test_large_keys_match_sql(spark, tmp_path, name):
+    """Keys up to those of 60 times sf0.1."""
+    spark.range(0, 6_000_000, 4096).selectExpr("id AS event_id", "'view' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(catalog.queries()[name](spark, str(tmp_path)).toPandas()) == rows(duck.sql(catalog.oracle_sql()[name]).df())

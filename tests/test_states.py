@@ -20,6 +20,7 @@ CASES = [
     (lambda: S.accepted_title(L("  "), L(" Roxy "), L(True)), "Roxy"), (lambda: S.accepted_title(L("  "), L("Roxy"), L(False)), ""), (lambda: S.accepted_title(L(" Song "), L("Roxy"), L(True)), "Song"),
     (lambda: S.source_facts(L("unknown"), L(0), L(1_000_000), L(60.0)), (133, True)), (lambda: S.source_facts(L("none"), L(0), L(1000), L(0.0)), (8, True)), (lambda: S.source_facts(L("pcm"), L(1411), L(1), L(1.0)), (1411, False)),
     (lambda: S.bitrate_label(L("vbr"), L(190), L(32), L(320)), "VBR 32–320 kbps (avg 190)"), (lambda: S.bitrate_label(L("avg"), L(190), L(0), L(0)), "~190 kbps"), (lambda: S.bitrate_label(L("none"), L(0), L(0), L(0)), ""),
+    (lambda: S.chips(L("a"), L(""), L(0), L(0), L(3.0), L(262_144 * 4321), L(True)), ["a", "0:03", "1080.2 MB"]), (lambda: S.chips(L("a"), L(""), L(0), L(0), L(3.0), L(262_144), L(True)), ["a", "0:03", "0.2 MB"]), (lambda: S.chips(L("a"), L(""), L(0), L(0), L(3.0), L(786_432), L(True)), ["a", "0:03", "0.8 MB"]), (lambda: S.chips(L("a"), L(""), L(0), L(0), L(3.0), L(262_145), L(True)), ["a", "0:03", "0.3 MB"]), (lambda: S.chips(L("a"), L(""), L(0), L(0), L(3.0), L(1_048_575), L(True)), ["a", "0:03", "1.0 MB"]),
     (lambda: S.chips(L("MP3"), L("CBR 128 kbps"), L(44100), L(6), L(125.0), L(2_097_152), L(False)), ["MP3", "CBR 128 kbps", "44.1 kHz", "6 ch", "2:05", "2.0 MB"]), (lambda: S.chips(L("H.264"), L(""), L(0), L(0), L(3.0), L(1_048_576), L(True)), ["H.264", "0:03", "1.0 MB"]),
     (lambda: S.export_fraction(L("running"), L(2), L(4), L(0.5)), 0.625), (lambda: S.export_fraction(L("running"), L(0), L(0), L(0.0)), 0.0), (lambda: S.export_fraction(L("queued"), L(2), L(4), L(0.5)), None),
     (lambda: S.is_active(L("queued")), True), (lambda: S.is_active(L("failed")), False), (lambda: S.is_active(none("string")), False),

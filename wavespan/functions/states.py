@@ -81,7 +81,7 @@ def bitrate_label(kind: Column, kbps: Column, least: Column, most: Column) -> Co
 def chips(codec: Column, bitrate: Column, rate: Column, channels: Column, secs: Column, size: Column, silent: Column) -> Column:
     """Array of a recording's short labels; one without sound has no bitrate, rate and channels."""
     layout = F.when(channels == 1, "mono").when(channels == 2, "stereo").otherwise(F.concat(channels.cast("string"), F.lit(" ch")))
-    length, megabytes = texts.clock_short(secs), F.format_string("%.1f MB", size / 1_048_576.0)
+    length, megabytes = texts.clock_short(secs), F.format_string("%.1f MB", F.bround(size / 1_048_576.0, 1))  # the quotient is exact, its halves go to the even digit
     return F.when(silent, F.array(codec, length, megabytes)).otherwise(F.array(codec, bitrate, F.format_string("%.1f kHz", rate / 1000.0), layout, length, megabytes))
 
 
