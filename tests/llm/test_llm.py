@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -588,6 +589,23 @@ def test_licenses_beside_exact_ones():
     assert set(found) == {"MIT", "CC-BY-4.0 notice"} and found["CC-BY-4.0 notice"] == "" and "-charge" in found["MIT"]
 
 
+def test_dictionaries_find_licenses(monkeypatch):
+    """A template is looked for only where its own dictionary makes words smaller."""
+    own = dict(licenses._compressors())
+    assert licenses.winners(licenses.words_of(licenses.TEMPLATES["MIT"]))["MIT"]
+    assert "MIT" in {r[0] for r in licenses._scan(licenses.TEMPLATES["MIT"])}
+    other = zstandard.ZstdCompressor(level=licenses.FIND, dict_data=zstandard.ZstdCompressionDict(b"0123456789" * 9, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_dict_id=False, **licenses._PLAIN)
+    monkeypatch.setattr(licenses, "_compressors", lambda: own | {"MIT": (*own["MIT"][:2], other)})
+    assert "MIT" not in {r[0] for r in licenses._scan(licenses.TEMPLATES["MIT"])}
+
+
+def test_dictionaries_miss_no_notice_among_others():
+    rng, names = np.random.default_rng(1), sorted(n for n, t in licenses.TEMPLATES.items() if len(licenses.words_of(t)) < licenses.SHORT and n.endswith("notice"))
+    for _ in range(20):
+        some = rng.choice(names, 12).tolist()
+        assert {r[0] for r in licenses._scan(" ".join(licenses.TEMPLATES[n] for n in some))} == set(some)
+
+
 def test_short_notice_in_a_long_block():
     words = np.random.default_rng(0).permutation([f"w{k}x{k * k}" for k in range(600)])
     around = [f"The warranty of {' '.join(words[k : k + 6])} has gone." for k in range(0, 600, 6)]

@@ -1,4 +1,4 @@
-"""License scans: spans that agree with templates word by word, ranked by zstandard with templates as raw dictionaries."""
+"""License scans: windows compressed with each template as a raw dictionary, winners confirmed word by word."""
 
 from __future__ import annotations
 
@@ -86,7 +86,8 @@ COVER = 0.8
 SHORT = 20
 #: Results are kept for blocks of up to so many characters.
 KEPT_CHARS = 4000
-LEVEL = 3
+#: Levels of compression that rank what is found, and that find it: the latter parses best, so a dictionary never costs.
+LEVEL, FIND = 3, 19
 
 
 @dataclass(frozen=True)
@@ -120,15 +121,44 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+_PLAIN = {"write_checksum": False, "write_content_size": False}
+
+
 @lru_cache(maxsize=1)
-def _compressors() -> dict[str, tuple[list[str], zstandard.ZstdCompressor, frozenset[str]]]:
-    """Of each template its words, its compressor, and the words without which it isn't there: versions, and all of a notice."""
+def _compressors() -> dict[str, tuple[list[str], zstandard.ZstdCompressor, zstandard.ZstdCompressor]]:
+    """Of each template its words, and its compressors that rank and that find."""
     out = {}
     for name, text in TEMPLATES.items():
         own = words_of(text)
-        needed = frozenset(w for w in own if len(own) < SHORT or any(map(str.isdigit, w)))
         raw = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out[name] = own, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_dict_id=False, write_checksum=False, write_content_size=False), needed
+        out[name] = own, *(zstandard.ZstdCompressor(level=level, dict_data=raw, write_dict_id=False, **_PLAIN) for level in (LEVEL, FIND))
+    return out
+
+
+def _width(template: list[str]) -> int:
+    """The most words over which a template may be spread."""
+    return len(template) + int((1 - COVER) * len(template) + 1)
+
+
+def winners(words: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Of each template the runs of words whose windows are smaller when compressed with it as a dictionary.
+
+    A window is twice as wide as the template may be spread, and the next one begins in its middle, so any such span
+    is whole in one of them, whatever the block's length. Runs go on for a width at both ends.
+    """
+    plain, sizes, out = zstandard.ZstdCompressor(level=FIND, **_PLAIN), {}, {}
+    for name, (template, _, compressor) in _compressors().items():
+        width = _width(template)
+        if width not in sizes:
+            parts = [(k, " ".join(words[k : k + 2 * width]).encode()) for k in range(0, max(len(words) - width, 1), width)]
+            sizes[width] = [(k, raw, len(plain.compress(raw))) for k, raw in parts]
+        runs: list[tuple[int, int]] = []
+        for k, raw, size in sizes[width]:
+            if len(compressor.compress(raw)) < size:
+                a, b = max(k - width, 0), min(k + 3 * width, len(words))
+                runs[-1:] = [(runs[-1][0], b)] if runs and a <= runs[-1][1] else [*runs[-1:], (a, b)]
+        if runs:
+            out[name] = runs
     return out
 
 
@@ -166,7 +196,7 @@ def exact_matches(name: str, template: list[str], words: list[str]) -> list[Matc
 def near_matches(name: str, template: list[str], words: list[str]) -> list[Match]:
     """Matches within the limits. Each is in a window of ``width`` words with enough of the template's, in any order."""
     need, least, spare = Counter(template), COVER * len(template), (1 - COVER) * len(template) + 1
-    width = len(template) + int(spare)
+    width = _width(template)
     have, common, shared = Counter(), 0, []
     for k, w in enumerate([*words, *[""] * (width - 1)][: max(len(words), width)]):
         have[w] += 1
@@ -193,15 +223,18 @@ def near_matches(name: str, template: list[str], words: list[str]) -> list[Match
     return out
 
 
+def _moved(matches: list[Match], by: int) -> list[Match]:
+    return [Match(m.license, frozenset(k + by for k in m.places), m.added, m.said) for m in matches]
+
+
 def _scan(text: str) -> tuple[tuple, ...]:
     words = words_of(text)
-    have = Counter(words)
     exact, near = [], []
-    for name, (template, _, needed) in _compressors().items():
-        if needed <= have.keys() and sum(min(have[w], n) for w, n in Counter(template).items()) >= COVER * len(template):
-            same = exact_matches(name, template, words)
-            exact += same
-            near += [] if same or len(template) < SHORT else near_matches(name, template, words)
+    for name, runs in winners(words).items():
+        template = _compressors()[name][0]
+        same = [m for a, b in runs for m in _moved(exact_matches(name, template, words[a:b]), a)]
+        exact += same
+        near += [] if same or len(template) < SHORT else [m for a, b in runs for m in _moved(near_matches(name, template, words[a:b]), a)]
     exact = [m for m in exact if not any(m.places < o.places for o in exact)]
     taken = frozenset().union(*(m.places for m in exact))
     near = [m for m in near if not m.places & taken]
@@ -214,7 +247,7 @@ def _scan(text: str) -> tuple[tuple, ...]:
     for name, m in best.items():
         template, compressor, _ = _compressors()[name]
         raw = " ".join(words[min(m.places) : max(m.places) + 1]).encode()
-        plain = len(zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False).compress(raw))
+        plain = len(zstandard.ZstdCompressor(level=LEVEL, **_PLAIN).compress(raw))
         out.append((name, round((plain - len(compressor.compress(raw))) / plain, 6), len(template), len(template) - len(m.places), m.added, m.said))
     return tuple(sorted(out, key=lambda r: (r[1], r[0]), reverse=True))
 
